@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import token_output
+from quillmark.llm import quality, token_output, toxicity
 from quillmark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,18 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op7_token_output": op7_token_output}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_token_output": op7_token_output,
+    "op10_toxicity": op10_toxicity,
+}
 
 SQL: dict[str, str] = {}
