@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import quality, token_output, toxicity
+from quillmark.llm import quality, secrets, token_output, toxicity
 from quillmark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_output": op7_token_output,
+    "op8_secret_scan": op8_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
