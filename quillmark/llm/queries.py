@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import quality, secrets, token_output, toxicity
+from quillmark.llm import html_text, quality, secrets, token_output, toxicity
 from quillmark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +32,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_output": op7_token_output,
     "op8_secret_scan": op8_secret_scan,
