@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import html_text, quality, secrets, token_output, toxicity
+from quillmark.llm import html_text, near_dedup, quality, secrets, token_output, toxicity
 from quillmark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.clusters(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_output": op7_token_output,
     "op8_secret_scan": op8_secret_scan,
+    "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
