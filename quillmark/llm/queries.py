@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import html_text, near_dedup, quality, secrets, token_output, toxicity
+from quillmark.llm import embedding_dedup, html_text, near_dedup, quality, secrets, token_output, toxicity
 from quillmark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_output": op7_token_output,
     "op8_secret_scan": op8_secret_scan,
@@ -44,4 +49,20 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings
+        ), able AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+            AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM able a JOIN able b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach(u, v) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+        ), part AS (SELECT u, min(v) AS c FROM reach GROUP BY u), degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT e.vec_id, coalesce(n, 0)::bigint AS n_links, c AS component_id, e.vec_id = c AS kept
+        FROM embeddings e JOIN part ON part.u = e.vec_id LEFT JOIN degree ON degree.u = e.vec_id
+    """,
+}
