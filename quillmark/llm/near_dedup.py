@@ -296,3 +296,17 @@ def clusters(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFram
     found = signed.select("doc_id", "n", "d1", "d2").join(component, ["d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("_root"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its group. Rows that repeat an id and a text
+    are one document and stay once; rows without an id all stay."""
+    judged = clusters(docs, size, threshold)
+    gone = settle(judged.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
+    repeated = settle(judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_again")), "repeated")
+    stay = small_join(docs, gone, ["doc_id"], "left_anti", 16)
+    if repeated.isEmpty():
+        return stay
+    marked = small_join(stay, repeated, ["doc_id"], "left", 16)
+    once = marked.where("_again is null").drop("_again")
+    return once.unionByName(marked.where("_again").drop("_again").dropDuplicates(["doc_id", "text"]))

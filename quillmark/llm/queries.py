@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import embedding_dedup, fingerprints, html_text, near_dedup, quality, secrets, token_output, toxicity
+from quillmark.llm import embedding_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, secrets, token_output, toxicity
 from quillmark.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -19,6 +23,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -45,9 +53,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_packing": op2_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_mixing": op6_mixing,
     "op7_token_output": op7_token_output,
     "op8_secret_scan": op8_secret_scan,
     "op9_near_dedup": op9_near_dedup,
@@ -55,6 +65,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_packing": op2_packing,
     "op3_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings

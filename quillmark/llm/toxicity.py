@@ -149,44 +149,63 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     return fit(*sample(docs, labels, label, limit))
 
 
+class Scorer:
+    """Scores of whole texts by a machine; words are looked up once."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.place = {int(t): i for i, t in enumerate(machine.terms)}
+        self.useful = {t & ~1 for t in self.place}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def row(self, text: str) -> np.ndarray:
+        once: set[int] = set()
+        twice: set[int] = set()
+        for w in WORDS.findall(text.lower()):
+            got = self.known.get(w)
+            if got is None:
+                got = tuple(t for t in terms_of(w) if t in self.useful)
+                if len(self.known) < 300_000:
+                    self.known[w] = got
+            for t in got:
+                if t in once:
+                    twice.add(t + 1)
+                else:
+                    once.add(t)
+        return np.array(sorted(self.place[t] for t in once | twice if t in self.place), np.int64)
+
+    def scores(self, found: list[str]) -> np.ndarray:
+        return logistic(self.machine.margin([self.row(t) for t in found]))
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs(doc_id, text, ...)`` to (doc_id, score) of every row, whole texts, no shuffle.
 
     Null texts are empty and score the bias; null ids, repeated rows and other columns are kept apart; an empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(machine)
+    model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def scored(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        place = {int(t): i for i, t in enumerate(m.terms)}
-        useful = {t & ~1 for t in place}
-        known: dict[str, tuple[int, ...]] = {}
-
-        def row(text: str) -> np.ndarray:
-            once: set[int] = set()
-            twice: set[int] = set()
-            for w in WORDS.findall(text.lower()):
-                got = known.get(w)
-                if got is None:
-                    got = tuple(t for t in terms_of(w) if t in useful)
-                    if len(known) < 300_000:
-                        known[w] = got
-                for t in got:
-                    if t in once:
-                        twice.add(t + 1)
-                    else:
-                        once.add(t)
-            return np.array(sorted(place[t] for t in once | twice if t in place), np.int64)
-
+        scorer = Scorer(model.value)
         for b in rows:
-            s = logistic(m.margin([row(t) for t in texts(b.column("text"))]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scorer.scores(texts(b.column("text"))), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(scored, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that a machine learned from ``labels`` scores below the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def clean(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for b in rows:
+            yield b.filter(pa.array(scorer.scores(texts(b.column("text"))) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, with a machine learned from ``labels``."""
     scored = score(docs, learn(docs, labels))
