@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """A table in the folder that all executors share (spark.checkpoint.dir; a local one where unset), read back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/quillmark-scratch"
-    path = f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage by a written table."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
