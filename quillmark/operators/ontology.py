@@ -24,7 +24,7 @@ def normalised(model: dict) -> dict:
             at = types[at]
     ends = lambda xs: sorted({x for x in xs or () if x in types or x == "*"})
     predicates = [{"name": re.sub(r"\W+", "_", p["name"].strip().lower()).strip("_"), "source": ends(p.get("source")), "target": ends(p.get("target"))} for p in model.get("predicates", []) if p.get("name", "").strip()]
-    return {"types": [{"name": n, "is_a": p} for n, p in types.items()], "predicates": predicates}
+    return {"types": [{"name": n, "is_a": p} for n, p in sorted(types.items())], "predicates": predicates}
 
 
 def to_linkml(model: dict, name: str, version: str) -> str:
