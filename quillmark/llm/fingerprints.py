@@ -27,8 +27,10 @@ SAMPLES = 128
 TAG_BITS = 16
 #: Rows of samples, one for each (term, count), that a worker keeps (a kilobyte each).
 CACHED_ROWS = 50_000
-#: Terms gathered at once.
-TERMS_AT_ONCE = 16_384
+#: Terms gathered at once, and rows computed at once, so that the work stays in the processor's caches.
+TERMS_AT_ONCE, ROWS_AT_ONCE = 4_096, 128
+#: Bits that choose a gamma quantile.
+QUANTILE_BITS = 12
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -55,24 +57,42 @@ class Sampler:
     """Sample rows of terms, and fingerprints of term counts."""
 
     def __init__(self):
-        self.gamma = _gamma_quantiles(1 << 16)
-        self.log_gamma = np.log(self.gamma)
+        self.gamma = _gamma_quantiles(1 << QUANTILE_BITS)
+        self.inverse, self.log_gamma = 1 / self.gamma, np.log(self.gamma)
         self.salts = _mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * ODD)
         self.place: dict[tuple[str, int], int] = {}
-        self.kept = np.empty((CACHED_ROWS, SAMPLES))
+        # Rows that stay, then room for the other rows of a group.
+        self.kept = np.empty((CACHED_ROWS + 2 * TERMS_AT_ONCE, SAMPLES))
+        self.buffer = np.empty((TERMS_AT_ONCE, SAMPLES))
 
-    def rows(self, terms: list[tuple[str, int]]) -> np.ndarray:
+    def rows(self, terms: list[tuple[str, int]], out: np.ndarray) -> np.ndarray:
         """ln a of each sample for each (term, count), its lowest 16 bits replaced by a hash of term, sample and t."""
         h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in terms), np.uint64, len(terms))
         weight = np.log(np.fromiter((n * len(w) for w, n in terms), np.float64, len(terms)))
-        x = _mixed(h[:, None] ^ self.salts)
-        r = self.gamma[(x & np.uint64(0xFFFF)).astype(np.int64)]
-        c = self.log_gamma[(x >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)]
-        beta = ((x >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.float64) + 0.5) / 65536
-        t = np.floor(weight[:, None] / r + beta)
-        key = c - r * (t - beta) - r
-        tag = _mixed(x + t.astype(np.int64).astype(np.uint64)) >> np.uint64(64 - TAG_BITS)
-        return ((key.view(np.uint64) >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS)) | tag).view(np.float64)
+        low, bits = np.uint64((1 << QUANTILE_BITS) - 1), np.uint64(QUANTILE_BITS)
+        for i in range(0, len(terms), ROWS_AT_ONCE):
+            x = _mixed(h[i : i + ROWS_AT_ONCE, None] ^ self.salts)
+            k = (x & low).view(np.int64)
+            beta = (x >> np.uint64(48)).astype(np.float64)
+            beta += 0.5
+            beta *= 1 / 65536
+            t = self.inverse[k]
+            t *= weight[i : i + ROWS_AT_ONCE, None]
+            t += beta
+            np.floor(t, out=t)
+            beta -= t
+            beta -= 1  # now -(t - beta) - 1
+            beta *= self.gamma[k]
+            beta += self.log_gamma[(x >> bits & low).view(np.int64)]
+            x ^= t.astype(np.int64).view(np.uint64) * ODD
+            x *= MIX
+            x >>= np.uint64(64 - TAG_BITS)
+            key = beta.view(np.uint64)
+            key >>= np.uint64(TAG_BITS)
+            key <<= np.uint64(TAG_BITS)
+            key |= x
+            out[i : i + ROWS_AT_ONCE] = beta
+        return out
 
     def signatures(self, docs: list[Counter]) -> np.ndarray:
         """Tags (documents x samples); a document without terms has zeros."""
@@ -90,25 +110,32 @@ class Sampler:
         return out
 
     def _group(self, docs: list[Counter]) -> np.ndarray:
-        terms = [x for d in docs for x in d.items()]
-        known = [self.place.get(x, -1) for x in terms]
-        at = np.array(known)
-        missing = list(dict.fromkeys(x for x, k in zip(terms, known, strict=True) if k < 0))
-        table = np.empty((len(terms), SAMPLES))
-        have = at >= 0
-        table[have] = self.kept[at[have]]
+        get = self.place.get
+        known = [[get(x, -1) for x in d.items()] for d in docs]
+        missing = list(dict.fromkeys(x for d, k in zip(docs, known, strict=True) if -1 in k for x, at in zip(d.items(), k, strict=True) if at < 0))
+        number: dict[tuple[str, int], int] = {}
         if missing:
-            fresh = self.rows(missing)
-            number = {x: i for i, x in enumerate(missing)}
-            table[~have] = fresh[[number[x] for x, k in zip(terms, known, strict=True) if k < 0]]
             room = min(CACHED_ROWS - len(self.place), len(missing))
             if room > 0:
                 first = len(self.place)
-                self.kept[first : first + room] = fresh[:room]
+                self.rows(missing[:room], self.kept[first : first + room])
                 self.place.update((x, first + i) for i, x in enumerate(missing[:room]))
-        first = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
-        low = np.minimum.reduceat(table, first, axis=0)
-        return (np.ascontiguousarray(low).view(np.uint64) & np.uint64((1 << TAG_BITS) - 1)).astype(np.uint16)
+            rest = missing[max(room, 0) :]
+            if len(self.kept) < CACHED_ROWS + len(rest):
+                self.kept = np.concatenate([self.kept, np.empty((CACHED_ROWS + len(rest) - len(self.kept), SAMPLES))])
+            self.rows(rest, self.kept[CACHED_ROWS : CACHED_ROWS + len(rest)])
+            number = {x: CACHED_ROWS + i for i, x in enumerate(rest)}
+        out = np.empty((len(docs), SAMPLES))
+        for i, (d, k) in enumerate(zip(docs, known, strict=True)):
+            if -1 in k:
+                k = [at if at >= 0 else number[x] if x in number else get(x) for x, at in zip(d.items(), k, strict=True)]
+            low = None
+            for j in range(0, len(k), TERMS_AT_ONCE):
+                part = k[j : j + TERMS_AT_ONCE]
+                found = np.take(self.kept, part, axis=0, out=self.buffer[: len(part)], mode="clip").min(0)
+                low = found if low is None else np.minimum(low, found)
+            out[i] = low
+        return (out.view(np.uint64) & np.uint64((1 << TAG_BITS) - 1)).astype(np.uint16)
 
 
 def terms(text: str) -> Counter:
@@ -188,8 +215,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             after = [a[3][: len(a[3]) - len(a[3]) // 4] + b[3][: len(a[3]) // 4] for a, b in pairs]
             counts = [terms(x[3]) for x in part]
             changed = [terms(t) for t in after]
-            tags, other = s.signatures(counts), s.signatures(changed)
             at = [i for i, a in enumerate(part[:-1]) if not a[1]]
+            # A text stands beside its edited text, so that most of their rows are computed once.
+            order = sorted([(i, 0) for i in range(len(part))] + [(i, 1) for i in at])
+            of = dict(zip(at, changed, strict=True))
+            both = s.signatures([of[i] if edited else counts[i] for i, edited in order])
+            tags = both[[k for k, (_, edited) in enumerate(order) if not edited]]
+            other = both[[k for k, (_, edited) in enumerate(order) if edited]]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([a[2] for a, _ in pairs], pa.int64()),
