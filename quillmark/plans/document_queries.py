@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
-from quillmark.operators import chunking, ontology, units
+from quillmark.operators import chunking, code_graph, concepts, evidence, ontology, units
 from quillmark.operators import resolution as R
 from quillmark.operators.graph import scratch
-from quillmark.plans.ingest_queries import CHUNKS
+from quillmark.plans.ingest_queries import APPROX, CHUNKS
 from quillmark.sources import parsers as P
 from quillmark.sources.catalog import Catalog, misses, reused_vectors
 from quillmark.sources.tables import chunks, load
@@ -213,13 +213,66 @@ def stream_job_state(spark, d):
     return rows.groupBy("job").agg(F.max_by(F.struct("state", "attempts", "events"), "_batch").alias("s")).select("job", "s.state", "s.attempts", "s.events")
 
 
+def greedy_cover(spark, d):
+    from quillmark.operators.recall import top_k
+    from quillmark.plans.search_queries import judged
+
+    return evidence.cover(top_k(judged(spark, d), "score", "point_id", 64, ["question_id"]), 8)
+
+
+def stitched_hits(spark, d):
+    rows = chunks(spark, d)
+    return evidence.stitched(rows.where("doc_id % 5 = 0 and chunk_index % 3 = 0").select("doc_id", "chunk_index"), rows).select("doc_id", "hit", "first", "last", F.length("text").cast("long").alias("chars"))
+
+
+def subject_pages(spark, d):
+    from quillmark.plans.graph_queries import facts
+
+    return evidence.subject_pages(facts(spark, d)).select("subject", "score", F.size(F.split("page", "\n")).cast("long").alias("lines"))
+
+
+def graph_readback(spark, d):
+    rows = chunks(spark, d)
+    places = rows.where("chunk_index < 4 and doc_id < 400").select((F.col("doc_id") % 10).alias("question_id"), "doc_id", "chunk_index", (F.col("doc_id") % 7 + F.col("chunk_index")).alias("weight"))
+    return evidence.readback(places, rows)
+
+
+def concept_norms(spark, d):
+    prop = F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 2 == 0, "Value").otherwise("rate level"))
+    symbol = F.when(F.col("p_partkey") % 3 == 0, "V_{CC}").when(F.col("p_partkey") % 3 == 1, "t")
+    return load(spark, d, "part").select("p_partkey", concepts.norm(prop, symbol).alias("concept"))
+
+
+def concept_build(spark, d):
+    names = load(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min(F.when(F.col("p_size") > 48, "mm").otherwise("")).alias("unit"), F.count("*").alias("n"))
+    a, b = names.select(F.col("name").alias("a")), names.select(F.col("name").alias("b"))
+    pairs = a.join(b, F.expr("a < b and substring_index(a, ' ', -1) = substring_index(b, ' ', -1)")).withColumn("similarity", F.lit(0.9))
+    return concepts.build(names, pairs)
+
+
+def period_contexts(spark, d):
+    rows = chunks(spark, d).withColumn("text", F.when(F.col("chunk_index") == 1, "Report for FY2023").when(F.col("chunk_index") == 3, "Q2 2024 results").otherwise(F.lit("body")))
+    return concepts.time_contexts(rows)
+
+
+def code_relations(spark, d):
+    """Definitions, imports and calls of generated modules, imports resolved against the files."""
+    docs = load(spark, d, "documents").where("doc_id < 300")
+    source = F.concat(F.lit("import os\nimport pkg.m"), (F.col("doc_id") + 1) % 300, F.lit("\ndef f"), "doc_id", F.lit("():\n    return f"), (F.col("doc_id") + 1) % 300, F.lit("()\n"))
+    rows = docs.select(F.concat(F.lit("src/pkg/m"), "doc_id", F.lit(".py")).alias("path"), source.alias("source"))
+    found = code_graph.relations(rows)
+    return code_graph.resolved_imports(found, rows).join(code_graph.calls_to_definitions(found).select(F.col("caller").alias("path"), "callee"), "path", "left")
+
+
 QUERIES = {f.__name__: f for f in (
     html_blocks, markdown_blocks, config_flatten, line_runs, heading_levels, header_tiers, table_ambiguity, format_routes, greedy_chunks, unit_build, sectioned_units, unit_kinds, sample_quota, even_spread,
     wide_table_rows, merge_records, merge_relations, homonym_split, shared_keys, merge_entities, declared_aliases, dissolved_names, grounded_records, record_parsing, name_conflicts, corrections, governance,
     row_status, cache_misses, vector_reuse, versioned_upsert, stream_windows, stream_sliding, stream_sessions, stream_dedupe, stream_job_state,
+    greedy_cover, stitched_hits, subject_pages, graph_readback, concept_norms, concept_build, period_contexts, code_relations,
 )}
 
 MENTIONS = "m AS (SELECT p_name AS key, upper(p_name) AS title, p_type AS type, l_orderkey AS unit_id, l_suppkey AS doc_id FROM lineitem JOIN part ON l_partkey = p_partkey)"
+FACTS = """facts AS (SELECT 'part-' || l_partkey AS subject, strftime(l_shipdate, '%Y') AS axis, round(l_discount * 100, 2) AS value_num, l_suppkey AS doc_id FROM lineitem)"""
 UNITS = f"{CHUNKS}, u AS (SELECT doc_id, chunk_index // 3 AS unit, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text, count(*) AS chunks FROM chunks GROUP BY ALL)"
 
 SQL = {
@@ -269,5 +322,15 @@ SQL = {
     "stream_sliding": "SELECT strftime(day, '%Y-%m-%d') AS start, count(*) AS n FROM (SELECT unnest([ts::date, ts::date - 1]) AS day FROM events) GROUP BY day",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 8 HOUR, true)::int AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
         c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest, sum(n)::bigint AS events FROM c GROUP BY user_id""",
+    "subject_pages": f"""WITH {FACTS}, s AS (SELECT subject, 3 * count(*) + 2 * count(DISTINCT doc_id) AS score FROM facts GROUP BY 1 HAVING count(*) >= 3 ORDER BY score DESC, subject LIMIT 80)
+        SELECT subject, score, 1 + count(DISTINCT (axis, value_num)) AS lines FROM facts JOIN s USING (subject) GROUP BY ALL""",
+    "graph_readback": f"""WITH {CHUNKS}, p AS (SELECT doc_id % 10 AS question_id, doc_id, chunk_index, text, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id % 7 + chunk_index DESC, chunk_index) AS turn FROM chunks WHERE chunk_index < 4 AND doc_id < 400),
+        r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY turn, doc_id, chunk_index) AS place FROM p QUALIFY place <= 24), t AS (SELECT *, {APPROX.format("text")} AS tokens FROM r),
+        u AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id ORDER BY place) AS used FROM t) SELECT question_id, doc_id, chunk_index, place, tokens FROM u WHERE used <= 2400""",
+    "concept_norms": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'vcc' WHEN 1 THEN 't:' || lower(p_name) ELSE lower(p_name) END AS concept FROM part",
+    "period_contexts": f"WITH {CHUNKS} SELECT doc_id, chunk_index, CASE WHEN chunk_index >= 3 THEN 'Q2 2024' WHEN chunk_index >= 1 THEN 'FY2023' ELSE '' END AS period FROM chunks",
+    "code_relations": """WITH d AS (SELECT doc_id, (doc_id + 1) % 300 AS n FROM documents WHERE doc_id < 300), k AS (SELECT doc_id, n, n IN (SELECT doc_id FROM d) AS known FROM d),
+        i AS (SELECT 'src/pkg/m' || doc_id || '.py' AS path, n, known, unnest(['os', 'pkg.m' || n]) AS name FROM k)
+        SELECT path, name, CASE WHEN name <> 'os' AND known THEN 'internal' ELSE 'external' END AS state, CASE WHEN name <> 'os' AND known THEN 'src/pkg/m' || n || '.py' END AS target, CASE WHEN known THEN 'src/pkg/m' || n || '.py' END AS callee FROM i""",
     "stream_dedupe": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",
 }
