@@ -79,7 +79,8 @@ def _grouped(docs: DataFrame, groups: int) -> DataFrame:
     rows = docs.withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
     rows = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)).cast("int"))
     rows = rows.withColumn("_size", F.greatest(F.length(whole()), F.lit(1)).cast("long"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.withColumn("_tie", F.xxhash64("text"))  # here, so that texts that nobody asks for aren't shuffled
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     by = Window.partitionBy("_source", "_group").orderBy(*order)
     before = F.coalesce(F.sum("_size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_raw", F.floor(before / BLOCK)).withColumn("_row", F.row_number().over(by))
@@ -113,7 +114,7 @@ def scheduled(docs: DataFrame, targets: Mapping[str, float] | None = None) -> tu
     rows = rows.withColumn("_slot", F.expr("_start + element_at(_phase.slots, cast(_o + 1 as int))"))
     rows = rows.withColumn("_release", F.expr("_start + _o * _phase.period div _phase.part"))
     rows = rows.withColumn("_deadline", F.expr("_start + ((_o + 1) * _phase.period + _phase.part - 1) div _phase.part"))
-    rows = rows.withColumnRenamed("_row", "_within").drop("_phase", "_j", "_start", "_o", "_raw", "_group", "_size", "_local", "_first")
+    rows = rows.withColumnRenamed("_row", "_within").drop("_phase", "_j", "_start", "_o", "_raw", "_group", "_size", "_tie", "_local", "_first")
     return rows, sum(n for n, _ in totals.values())
 
 
