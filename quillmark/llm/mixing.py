@@ -131,7 +131,9 @@ def schedule(docs: DataFrame, targets: Mapping[str, float] | None = None) -> Dat
 
 def mixed(docs: DataFrame, targets: Mapping[str, float] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` in the order of the schedule: partitions in order, sorted inside."""
-    rows, slots = scheduled(docs, targets)
+    # The row goes along as one column, so that no column of its own can clash.
+    whole_rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_whole"))
+    rows, slots = scheduled(whole_rows, targets)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("_part", F.expr(f"cast(_slot * {parts}L div {max(slots, 1)}L as int)"))
-    return rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("_slot", "_within").select(*docs.columns)
+    return rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("_slot", "_within").select("_whole.*")

@@ -304,9 +304,11 @@ def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     judged = clusters(docs, size, threshold)
     gone = settle(judged.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
     repeated = settle(judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_again")), "repeated")
-    stay = small_join(docs, gone, ["doc_id"], "left_anti", 16)
+    # The row goes along as one column, so that no column of its own can clash.
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_whole"))
+    stay = small_join(rows, gone, ["doc_id"], "left_anti", 16)
     if repeated.isEmpty():
-        return stay
+        return stay.select("_whole.*")
     marked = small_join(stay, repeated, ["doc_id"], "left", 16)
-    once = marked.where("_again is null").drop("_again")
-    return once.unionByName(marked.where("_again").drop("_again").dropDuplicates(["doc_id", "text"]))
+    once = marked.where("_again is null").select("_whole")
+    return once.unionByName(marked.where("_again").dropDuplicates(["doc_id", "text"]).select("_whole")).select("_whole.*")

@@ -96,6 +96,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert mixing.schedule(odd_docs).count() == odd_docs.count() == mixing.mixed(odd_docs).count()
     assert mixing.schedule(no_docs).count() == 0 == mixing.mixed(no_docs).count()
     assert mixing.mixed(odd_docs).columns == odd_docs.columns
+    assert sorted(map(repr, mixing.mixed(odd_docs).collect())) == sorted(map(repr, odd_docs.collect()))
     rows = packing.packed(odd_docs, PATH).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(r.doc_id for r in odd_docs.collect())
     assert packing.packed(no_docs, PATH).count() == 0

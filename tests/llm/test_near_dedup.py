@@ -85,4 +85,5 @@ def test_one_of_each_keeps_columns(spark, odd_docs, no_docs):
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert [i for none, i in ids if not none] == [1, 2, 3, 4, 6, 7, 7]
     assert sum(none for none, _ in ids) == 2
+    assert set(map(repr, kept.collect())) <= set(map(repr, odd_docs.collect()))
     assert near_dedup.one_of_each(no_docs).count() == 0
