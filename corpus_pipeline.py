@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import mixing, near_dedup, packing, secrets, toxicity
-from quillmark.llm.common import fresh, table
+from quillmark.llm.common import bounded_batches, fresh, table
 from quillmark.llm.queries import VOCABULARY
 
 
@@ -20,19 +20,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_dedup.one_of_each(docs, size=5, threshold=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows in the order of the schedule; the next stage packs runs of this order."""
+    bounded_batches(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.packed(docs, public_tokenizers.path(VOCABULARY))
 
 

@@ -44,7 +44,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in small Arrow batches, so that their memory doesn't depend on text lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,20 +74,11 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, width:
     return big.join(small, on, how)
 
 
-def arrow(df: DataFrame, func, schema: str) -> DataFrame:
-    """mapInArrow over batches small enough that a batch of very long texts stays in memory."""
-    return df.mapInArrow(func, schema)
-
-
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null reads as empty."""
     return [x or "" for x in column.to_pylist()]
 
 
-def batches(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
-
-
 class Forest:
     """Union-find over the dense numbers 0..n-1; the smaller root wins."""
 
@@ -128,7 +126,8 @@ def components(edges: DataFrame) -> DataFrame:
     and repeated edges are ignored; an empty input gives an empty output; null ends are dropped.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e = settle(e.mapInArrow(_thin, "u long, v long").distinct(), "edges")
+    # Not thinned here: edges may come straight from Python, and two Python steps in a task would be two workers.
+    e = settle(e.distinct(), "edges")
     while True:
         stars = e.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("k"))
         stars = stars.unionByName(e.groupBy("v").agg(F.lit(0).alias("n"), F.lit(1).alias("k")).withColumnRenamed("v", "u"))

@@ -33,7 +33,7 @@ BIN_BITS, SKETCH_BITS = 9, 1024
 MARGIN = 0.18
 #: Members of a block of a bucket, and shingles of a block of a group.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2_000, 1_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)

@@ -37,7 +37,7 @@ SKIP_DIRECTORY, SKIP_SEEK, SEEK_FOOTER, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F
 #: The id appended to every document.
 END_ID = 1
 #: Words kept with their ids by each worker; later words are encoded anew each time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 #: A run of letters of Latin-1, then ASCII punctuation but the apostrophe: neither normalisation nor
 #: contractions concern such words, so the vocabulary model is called on the two parts directly.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")

@@ -23,6 +23,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of the prefixes that count as terms of their own.
 PREFIXES = (4, 5, 6)
 HASH_BITS = 20
+#: Words whose terms a worker keeps.
+CACHED_WORDS = 100_000
 #: The most labelled documents that are gathered to fit the machine.
 SAMPLE = 8_000
 #: Terms kept: the strongest by the z-score of their document frequencies in the two classes.
@@ -37,7 +39,7 @@ def terms_of(word: str) -> list[int]:
     return [zlib.crc32(t.encode()) % (1 << HASH_BITS) << 1 for t in found]
 
 
-def features(text: str, known: dict[str, list[int]], limit: int = 300_000) -> np.ndarray:
+def features(text: str, known: dict[str, list[int]], limit: int = CACHED_WORDS) -> np.ndarray:
     """Distinct features of a whole text, ascending."""
     once: set[int] = set()
     twice: set[int] = set()
@@ -165,7 +167,7 @@ class Scorer:
             got = self.known.get(w)
             if got is None:
                 got = tuple(t for t in terms_of(w) if t in self.useful)
-                if len(self.known) < 300_000:
+                if len(self.known) < CACHED_WORDS:
                     self.known[w] = got
             for t in got:
                 if t in once:
