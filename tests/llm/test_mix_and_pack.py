@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -32,6 +33,20 @@ def test_every_block_has_one_slot_over_all_phases():
     assert sorted(taken) == list(range(5701))
 
 
+@pytest.mark.parametrize(
+    "weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"hot": 9e9**0.5, **{f"s{i}": (1e9 + i) ** 0.5 for i in range(19)}}]
+)
+def test_targets_are_kept_over_many_periods(weights):
+    total, slots = sum(weights.values()), 60_000
+    plan = mixing.phases({n: math.ceil(slots * w / total) + 1 for n, w in weights.items()}, weights)
+    for n, w in weights.items():
+        (first, base, part, period, places), end = plan[n][0], min(plan[m][1][1] if len(plan[m]) > 1 else 10**9 for m in weights)
+        taken = sorted(t for j in range(part * -(-end // period)) if (t := base + j // part * period + places[j % part]) < end)
+        assert end >= slots
+        for j, t in enumerate(taken):
+            assert abs(j - w / total * t) < 1 and abs(j + 1 - w / total * (t + 1)) < 1
+
+
 def docs(spark, n=400):
     rng = random.Random(8)
     rows = [(k, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 20, 200, 3000]))), rng.choice(["hot", "hot", "a", "b", "c"])) for k in range(n)]
