@@ -15,12 +15,12 @@ import math
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import settle, small_join, whole
 
-#: Code points of a block, and rows of the groups in which blocks are formed.
+#: Code points of a block, and rows of the groups in which rows are numbered.
 BLOCK, GROUP = 65_536, 20_000
 #: Blocks of a source in one row of the joined schedule.
 RUN = 4_096
@@ -102,17 +102,30 @@ def dealt(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str,
     return out
 
 
-def _grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """Add _source, _group and the number _local of the row's block in its source and group. Groups are by a hash of
-    the id, so a source with a third of all rows is in all of them."""
+def _keyed(docs: DataFrame, groups: int) -> DataFrame:
+    """Add _source, _size, _tie, _place and _group. The places are hashes of the ids and the groups are ranges of them,
+    so a source with a third of all rows is in all groups, and its order doesn't depend on how many there are."""
     rows = docs.withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("_place", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 33))
+    rows = rows.withColumn("_group", F.expr(f"cast(_place * {groups}L div {1 << 31}L as int)"))
     rows = rows.withColumn("_size", F.greatest(F.length(whole()), F.lit(1)).cast("long"))
-    rows = rows.withColumn("_tie", F.xxhash64("text"))  # here, so that texts that nobody asks for aren't shuffled
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
-    by = Window.partitionBy("_source", "_group").orderBy(*order)
+    return rows.withColumn("_tie", F.xxhash64("text"))  # here, so that texts that nobody asks for aren't shuffled
+
+
+def _before(column: str) -> Column:
+    """Sum of a column over the earlier groups of the source."""
+    by = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(by), F.lit(0))
+
+
+def _grouped(docs: DataFrame, groups: int, starts: DataFrame) -> DataFrame:
+    """Add the row's place _row in its source, its block _raw by the source's running size, and the number _local of
+    that block in its source and group. ``starts`` has the rows and sizes of the earlier groups, so blocks cross the
+    borders of groups."""
+    rows = small_join(_keyed(docs, groups), starts, ["_source", "_group"], "inner", 80)
+    by = Window.partitionBy("_source", "_group").orderBy("_place", F.col("doc_id").asc_nulls_first(), F.col("_tie"))
     before = F.coalesce(F.sum("_size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_raw", F.floor(before / BLOCK)).withColumn("_row", F.row_number().over(by))
+    rows = rows.withColumn("_raw", F.floor((F.col("_start") + before) / BLOCK)).withColumn("_row", F.col("_rows") + F.row_number().over(by))
     return rows.withColumn("_local", F.dense_rank().over(Window.partitionBy("_source", "_group").orderBy("_raw")) - 1)
 
 
@@ -121,26 +134,32 @@ def scheduled(docs: DataFrame, targets: Mapping[str, float] | None = None) -> tu
     block), and the number of slots. The driver sees one row for each source and deals their blocks."""
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // GROUP))
-    narrow = _grouped(docs.select("doc_id", "source", "text"), groups)
-    counted = narrow.groupBy("_source", "_group").agg((F.max("_local") + 1).alias("n"), F.sum("_size").alias("size"))
-    counted = settle(counted, "mix-groups")
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counted.select("_source", "_group", first.alias("_first"))
-    totals = {r["_source"]: (r["n"], r["size"]) for r in counted.groupBy("_source").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()}
+    narrow = docs.select("doc_id", "source", "text")
+    sizes = _keyed(narrow, groups).groupBy("_source", "_group").agg(F.count("*").alias("rows"), F.sum("_size").alias("size"))
+    sizes = settle(sizes, "mix-sizes")
+    starts = settle(sizes.select("_source", "_group", _before("rows").alias("_rows"), _before("size").alias("_start")), "mix-starts")
+    counted = _grouped(narrow, groups, starts).groupBy("_source", "_group")
+    counted = counted.agg((F.max("_local") + 1).alias("n"), F.min("_raw").alias("low"), F.max("_raw").alias("high"))
+    # A group begins in the block in which the one before it ends, or in a new one.
+    again = F.lag("high").over(Window.partitionBy("_source").orderBy("_group")) == F.col("low")
+    counted = settle(counted.withColumn("again", F.coalesce(again, F.lit(False)).cast("long")).withColumn("fresh", F.expr("n - again")), "mix-groups")
+    offsets = counted.select("_source", "_group", (_before("fresh") - F.col("again")).alias("_first"))
+    offsets = starts.join(offsets, ["_source", "_group"])
+    blocks = counted.groupBy("_source").agg(F.sum("fresh").alias("n"))
+    totals = {r["_source"]: (r["n"], r["size"]) for r in sizes.groupBy("_source").agg(F.sum("size").alias("size")).join(blocks, "_source").collect()}
     given = targets or {}
     weights = {s: float(given.get(s, 0)) or size**TEMPERATURE for s, (_, size) in totals.items()}
     plan = dealt({s: n for s, (n, _) in totals.items()}, weights)
     runs = [(s, k // RUN, *(x[k : k + RUN] for x in columns)) for s, columns in plan.items() for k in range(0, len(columns[0]), RUN)]
     table = spark.createDataFrame(runs, "_source string, _run long, _slots array<int>, _releases array<int>, _deadlines array<int>")
 
-    rows = _grouped(docs, groups)
-    rows = small_join(rows, offsets, ["_source", "_group"], "inner", 64)
+    rows = _grouped(docs, groups, settle(offsets, "mix-offsets"))
     rows = rows.withColumn("_block", F.col("_first") + F.col("_local")).withColumn("_run", F.expr(f"_block div {RUN}"))
     width = max((64 + 12 * len(x[2]) for x in runs), default=1)
     rows = small_join(rows, table, ["_source", "_run"], "inner", width)
     for name, column in (("_slot", "_slots"), ("_release", "_releases"), ("_deadline", "_deadlines")):
         rows = rows.withColumn(name, F.expr(f"cast(element_at({column}, cast(_block % {RUN} + 1 as int)) as long)"))
-    rows = rows.withColumnRenamed("_row", "_within").drop("_run", "_slots", "_releases", "_deadlines", "_raw", "_group", "_size", "_tie", "_local", "_first")
+    rows = rows.withColumnRenamed("_row", "_within").drop("_run", "_slots", "_releases", "_deadlines", "_raw", "_group", "_size", "_tie", "_place", "_rows", "_start", "_local", "_first")
     return rows, sum(n for n, _ in totals.values())
 
 

@@ -70,6 +70,24 @@ def test_schedule_and_order(spark, monkeypatch):
     assert mixing.mixed(frame).columns == frame.columns
 
 
+def test_blocks_cross_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1_000)
+    rows = [(k, "x" * 90, "hot") for k in range(900)] + [(1000 + k, "y" * 90, "rare") for k in range(60)] + [(2000, "z" * 2500, "long"), (2001, "z" * 400, "long"), (2002, "z" * 400, "long")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for group in (20, 100_000):  # as in a large and in a small table
+        monkeypatch.setattr(mixing, "GROUP", group)
+        got = mixing.schedule(frame).collect()
+        assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+        blocks = {s: Counter(r.block for r in got if r.source == s) for s in ("hot", "rare", "long")}
+        assert sorted(blocks["rare"]) == list(range(6)) and all(blocks["rare"][b] in (11, 12) for b in range(5))
+        assert all(n in (11, 12) for b, n in blocks["hot"].items() if b < 80) and sorted(blocks["hot"]) == list(range(81))
+        assert sorted(blocks["long"]) == list(range(len(blocks["long"])))
+        assert len({(r.source, r.within) for r in got}) == len(rows)
+        found.append(sorted(got))
+    assert found[0] == found[1]
+
+
 def test_bins_equal_a_plain_best_fit():
     rng = random.Random(9)
     n, sources, clusters = [rng.choice([0, 3, 40, 90, 260]) + 1 for _ in range(300)], [rng.choice("aab") for _ in range(300)], [rng.randrange(40) for _ in range(300)]
