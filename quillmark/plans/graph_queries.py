@@ -9,6 +9,7 @@ from quillmark.functions import facts as V
 from quillmark.functions import text as T
 from quillmark.operators import facts as FA
 from quillmark.operators import graph as G
+from quillmark.operators import resolution as R
 from quillmark.plans.ingest_queries import CHUNKS, PATH
 from quillmark.plans.search_queries import KEYWORD, keyword, points
 from quillmark.sources.tables import chunks, files, load, rel_path
@@ -206,11 +207,11 @@ def name_keys(spark, d):
 
 
 def similar_names(spark, d):
-    """Near titles in the sliding window of their type whose bigrams or edits are close."""
+    """Similar names in the sliding window of forty places of their type, with their bigrams' likeness and edits."""
     entities = load(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("type"), F.concat("p_name", F.lit(" "), F.col("p_partkey") % 40).alias("title"))
-    pairs = G.sliding_pairs(entities, ["type"], 10)
-    close = pairs.where(F.col("ta") != F.col("tb")).withColumn("dice", V.dice(F.col("ta"), F.col("tb"))).withColumn("edits", F.levenshtein("ta", "tb"))
-    return close.where("dice >= 0.7 and edits <= 2").select("a", "b", "dice", F.col("edits").cast("long").alias("edits"))
+    pairs = G.sliding_pairs(entities.withColumn("title", R.name_features("title")), ["type"], 40)
+    close = pairs.where(R.similar(F.col("ta"), F.col("tb"))).select("a", "b", F.col("ta.title").alias("ta"), F.col("tb.title").alias("tb"))
+    return close.select("a", "b", V.dice(F.col("ta"), F.col("tb")).alias("dice"), F.levenshtein("ta", "tb").cast("long").alias("edits"))
 
 
 def external_id_link(spark, d):
