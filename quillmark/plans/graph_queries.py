@@ -126,16 +126,20 @@ def degree_stats(spark, d):
 
 def npmi_weights(spark, d):
     li = load(spark, d, "lineitem")
-    e = edges(spark, d).where("target in ('s1', 's2', 's3')")
+    e = edges(spark, d)
     mentions = li.select(F.concat(F.lit("p"), "l_partkey").alias("key"), F.col("l_orderkey").alias("unit")).unionByName(li.select(F.concat(F.lit("s"), "l_suppkey").alias("key"), F.col("l_orderkey").alias("unit")))
     n = li.agg(F.countDistinct("l_orderkey").alias("n")).first()[0]
-    rows = e.join(G.npmi(e, mentions, F.lit(n)), ["source", "target"])
+    rows = G.settle(e.join(G.npmi(e, mentions, F.lit(n)), ["source", "target"]), "npmi")
     top = rows.agg(F.max("weight").alias("ms"), F.max("cooccur").alias("mc"))
     return rows.crossJoin(F.broadcast(top)).select("source", "target", "cooccur", "npmi", G.edge_weight(F.col("weight"), F.col("ms"), F.col("cooccur"), F.col("mc"), F.col("npmi")).alias("weight"))
 
 
+def pagerank(spark, d):
+    return G.pagerank(nodes(spark, d), edges(spark, d)).select("key", F.round("rank", 9).alias("rank"))
+
+
 def pagerank_3(spark, d):
-    """Three steps, as many as the SQL unrolls; the operator's default is sixty."""
+    """Three steps, as many as the SQL unrolls, to check a step; the ranks themselves are those of ``pagerank``."""
     return G.pagerank(nodes(spark, d), edges(spark, d), iterations=3).select("key", F.round("rank", 9).alias("rank"))
 
 
@@ -290,7 +294,7 @@ def fact_check(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     fact_groups, fact_series, fact_trend, fact_conflicts, facts_asof, facts_listing, duplicate_facts, table_melt, key_columns, fact_values, unit_spellings, document_axis, day_normalise, bound_distance,
-    document_status, overlapping_states, degree_stats, npmi_weights, pagerank_3, connected_components, one_hop, n_hop, type_closure, endpoint_check, variant_edges, mention_counts, majority_type,
+    document_status, overlapping_states, degree_stats, npmi_weights, pagerank, pagerank_3, connected_components, one_hop, n_hop, type_closure, endpoint_check, variant_edges, mention_counts, majority_type,
     chunk_graph_score, name_keys, similar_names, external_id_link, entity_listing, type_facets, graph_stats, predicate_health, graph_compare, bundle_integrity, docs_listing, eval_mrr, fact_check,
 )}
 

@@ -1,6 +1,8 @@
 """Queries over whole tables: rows that smaller windows or fixed subsets of ids would lose."""
 
+import math
 import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -48,3 +50,27 @@ def test_similar_rule(spark):
     ]
     rows = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(R.name_features("a").alias("a"), R.name_features("b").alias("b"))
     assert [r[0] for r in rows.select(R.similar(F.col("a"), F.col("b"))).collect()] == [c[2] for c in cases]
+
+
+def test_npmi_of_all_edges(spark):
+    orders, weight = defaultdict(set), defaultdict(float)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        p, s = f"p{r.l_partkey}", f"s{r.l_suppkey}"
+        orders[p].add(r.l_orderkey), orders[s].add(r.l_orderkey)
+        weight[p, s] += float(r.l_quantity)
+    n, most, want = len(set().union(*orders.values())), max(weight.values()), {}
+    cooccur = {(p, s): len(orders[p] & orders[s]) for p, s in weight}
+    for (p, s), c in cooccur.items():
+        v = round(math.log(c * n / len(orders[p]) / len(orders[s])) / -math.log(c / n), 6)
+        want[p, s] = c, v, 1 + 9 * max(0, min(1, 0.5 * weight[p, s] / most + 0.3 * c / max(cooccur.values()) + 0.2 * (v + 1) / 2))
+    got = {(r.source, r.target): (r.cooccur, r.npmi, r.weight) for r in registry.QUERIES["npmi_weights"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len({t for _, t in got}) > 3
+    for k, (c, v, w) in want.items():
+        assert got[k][0] == c and abs(got[k][1] - v) < 2e-6 and abs(float(got[k][2]) - w) < 2e-4
+
+
+def test_pagerank_takes_the_operators_steps(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "pagerank", lambda nodes, edges, iterations=60: seen.append(iterations) or nodes.select("key", F.lit(0.0).alias("rank")))
+    registry.QUERIES["pagerank"](spark, SF)
+    assert seen == [60]
