@@ -233,7 +233,7 @@ def subject_pages(spark, d):
 
 def graph_readback(spark, d):
     rows = chunks(spark, d)
-    places = rows.where("chunk_index < 4 and doc_id < 400").select((F.col("doc_id") % 10).alias("question_id"), "doc_id", "chunk_index", (F.col("doc_id") % 7 + F.col("chunk_index")).alias("weight"))
+    places = rows.select((F.col("doc_id") % 10).alias("question_id"), "doc_id", "chunk_index", (F.col("doc_id") % 7 + F.col("chunk_index")).alias("weight"))
     return evidence.readback(places, rows)
 
 
@@ -257,8 +257,8 @@ def period_contexts(spark, d):
 
 def code_relations(spark, d):
     """Definitions, imports and calls of generated modules, imports resolved against the files."""
-    docs = load(spark, d, "documents").where("doc_id < 300")
-    source = F.concat(F.lit("import os\nimport pkg.m"), (F.col("doc_id") + 1) % 300, F.lit("\ndef f"), "doc_id", F.lit("():\n    return f"), (F.col("doc_id") + 1) % 300, F.lit("()\n"))
+    docs = load(spark, d, "documents")
+    source = F.concat(F.lit("import os\nimport pkg.m"), F.col("doc_id") + 1, F.lit("\ndef f"), "doc_id", F.lit("():\n    return f"), F.col("doc_id") + 1, F.lit("()\n"))
     rows = docs.select(F.concat(F.lit("src/pkg/m"), "doc_id", F.lit(".py")).alias("path"), source.alias("source"))
     found = code_graph.relations(rows)
     return code_graph.resolved_imports(found, rows).join(code_graph.calls_to_definitions(found).select(F.col("caller").alias("path"), "callee"), "path", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import graph as G
 from quillmark.operators import resolution as R
+from quillmark.plans import document_queries as D
 from quillmark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,19 @@ def test_pagerank_takes_the_operators_steps(spark, monkeypatch):
     monkeypatch.setattr(G, "pagerank", lambda nodes, edges, iterations=60: seen.append(iterations) or nodes.select("key", F.lit(0.0).alias("rank")))
     registry.QUERIES["pagerank"](spark, SF)
     assert seen == [60]
+
+
+def test_readback_of_late_chunks_and_documents(spark, monkeypatch):
+    rows = spark.createDataFrame([(doc, k, "a few words") for doc in (3, 403, 1003) for k in range(6)], "doc_id long, chunk_index int, text string")
+    monkeypatch.setattr(D, "chunks", lambda spark, d: rows)
+    got = sorted((r.place, r.doc_id, r.chunk_index) for r in D.graph_readback(spark, SF).collect())
+    assert [(doc, k) for _, doc, k in got] == [(doc, k) for k in (5, 4, 3, 2, 1, 0) for doc in (3, 403, 1003)]
+
+
+def test_code_relations_of_late_documents(spark, monkeypatch):
+    monkeypatch.setattr(D, "load", lambda spark, d, name: spark.createDataFrame([(298,), (299,), (300,), (301,)], "doc_id long"))
+    got = {(r.path, r.name): (r.state, r.callee) for r in D.code_relations(spark, SF).collect()}
+    assert len(got) == 8 and all(got[f"src/pkg/m{k}.py", "os"][0] == "external" for k in range(298, 302))
+    for k in (298, 299, 300):
+        assert got[f"src/pkg/m{k}.py", f"pkg.m{k + 1}"] == ("internal", f"src/pkg/m{k + 1}.py")
+    assert got["src/pkg/m301.py", "pkg.m302"] == ("external", None)
