@@ -126,7 +126,7 @@ def declared_aliases(spark, d):
 
 
 def dissolved_names(spark, d):
-    base = load(spark, d, "customer").where("c_custkey < 60").select(F.col("c_custkey").cast("string").alias("key"), F.concat(F.lit("name"), "c_custkey").alias("title"), F.lit("t").alias("type"))
+    base = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.concat(F.lit("name"), "c_custkey").alias("title"), F.lit("t").alias("type"))
     pairs = base.select(F.concat(F.lit("c"), "key").alias("key"), F.concat("title", F.lit("/name"), (F.col("key") * 2).cast("long")).alias("title"), "type")
     return R.dissolved(base.unionByName(pairs))
 
@@ -144,8 +144,9 @@ def record_parsing(spark, d):
 
 
 def name_conflicts(spark, d):
-    p = load(spark, d, "part").where("p_partkey < 200").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "input").otherwise("output"), "p_name").alias("name"))
-    pairs = p.toDF("a", "na").join(p.toDF("b", "nb"), F.expr("b = a + 1 or b = a + 2"))
+    p = load(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "input").otherwise("output"), "p_name").alias("name"))
+    ahead = p.toDF("a", "na").withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 2)))
+    pairs = ahead.join(p.toDF("b", "nb"), "b")
     return pairs.groupBy(R.polarity_conflict(F.col("na"), F.col("nb")).alias("conflict"), R.containment(F.col("na"), F.concat("na", F.lit(" type"))).alias("contained")).agg(F.count("*").alias("n"))
 
 

@@ -91,3 +91,14 @@ def test_code_relations_of_late_documents(spark, monkeypatch):
     for k in (298, 299, 300):
         assert got[f"src/pkg/m{k}.py", f"pkg.m{k + 1}"] == ("internal", f"src/pkg/m{k + 1}.py")
     assert got["src/pkg/m301.py", "pkg.m302"] == ("external", None)
+
+
+def test_name_conflicts_of_late_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "load", lambda spark, d, name: spark.createDataFrame([(k, "ring") for k in range(190, 231)], "p_partkey long, p_name string"))
+    assert {(r.conflict, r.contained): r.n for r in D.name_conflicts(spark, SF).collect()} == {(True, True): 40, (False, True): 39}
+
+
+def test_dissolved_names_of_late_customers(spark, monkeypatch):
+    monkeypatch.setattr(D, "load", lambda spark, d, name: spark.createDataFrame([(k,) for k in (10, 20, 100, 200, 300)], "c_custkey long"))
+    got = {(r.combined, r.part) for r in D.dissolved_names(spark, SF).collect()}
+    assert got == {("c10", "10"), ("c10", "20"), ("c100", "100"), ("c100", "200")}
