@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import texts, whole
-from quillmark.llm.token_output import encoder
+from quillmark.llm.token_output import chunked, encoder
 
 #: Tokens of a sequence, pieces of one source in it, and documents of a shard.
 CAPACITY, PER_SOURCE, SHARD = 8_192, 4, 4_096
@@ -105,9 +105,9 @@ def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for b in rows:
+        for b in chunked(rows, "text"):
             found = texts(b.column("text"))
-            n = [len(enc.encode(t)) // 4 + 1 for t in found]
+            n = enc.count(b.column("text")) + 1
             same = np.array([xxhash.xxh64_intdigest(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")) for t in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), pa.array(same)], names=["shard", "doc_id", "source", "n_tokens", "cluster"])
 

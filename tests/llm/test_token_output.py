@@ -4,6 +4,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -12,13 +13,20 @@ from quillmark.llm import token_output
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_encoder_equals_library():
-    library, enc = Tokenizer.from_file(PATH), token_output.Encoder(PATH)
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library(name):
+    path = public_tokenizers.path(name)
+    library, enc = Tokenizer.from_file(path), token_output.Encoder(path)
+    assert enc.columnar == (name == "word_bpe_49k.json")
     rng = random.Random(3)
-    pieces = ["the", "The,", "ÀÉîß", "don't", "x_y", "<|endoftext|>", "İstanbul", "ΣΑΣ", "éa", "日本語", " ", "\x1c", "a\u0085b", "123", "$$$", "***end", "ª", "'s", "\t", "\n\n", "🙂🙂", "...", "A" * 80, "fi‍x"]
-    for _ in range(500):
-        text = "".join(rng.choice(pieces) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randrange(30)))
-        assert enc.encode(text) == array.array("I", library.encode(text, add_special_tokens=False).ids).tobytes(), text
+    pieces = ["the", "The,", "ÀÉîß", "don't", "I'VE", "'tis", "x_y", "<|endoftext|>", "a<|startoftext|>b", "İstanbul", "ΣΑΣ", "éa", "日本語", " ", "\x1c", "a\u0085b", "123", "$$$", "***end", "ª", "'s", "\t", "\n\n", "\r", "🙂🙂", "...", "A" * 80, "fi‍x"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(500)] + [None, ""]
+    column = pa.array(texts, pa.string())
+    ids, at = enc.encode(column)
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert enc.count(column).tolist() == [b - a for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    assert len(enc.encode(pa.array([], pa.string()))[0]) == 0 == len(enc.count(pa.array([], pa.string())))
 
 
 def test_files_round_trip(spark, odd_docs, no_docs, tmp_path):
