@@ -1,5 +1,9 @@
 import html
 import re
+import time
+import tracemalloc
+
+import pytest
 
 from quillmark.llm import html_text
 from quillmark.llm.common import table
@@ -40,3 +44,38 @@ def test_odd_pages(spark):
     assert {k: t for k, t in got if k in (1, 2, 3, 6)} == {1: "", 2: "", 3: "plain text, no markup", 6: ""}
     assert got.count((4, "unclosed tags & half &am")) == 2 and (None, "text only") in got
     assert html_text.main_text(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["post-comments", "article-footer", "main-nav", "page-header", "post-share", "content-sidebar", "entry-related", "sidebar-content", "text-ad", "comments", "cookieNotice", "widget_area"])
+def test_boilerplate_names(name):
+    page = f'<body><div class="content"><p>{"An article of some length. " * 9}</p><div class="{name}">{"Not a part of it, whatever its length. " * 30}</div></div></body>'
+    assert html_text.extract(page, [])[0] == ("An article of some length. " * 9).strip()
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content-with-ads", "layout sidebar-left", "page header-fixed", "no-comments"])
+def test_wrapper_names(name):
+    page = f'<body><div class="{name}"><h1>Title</h1><div class="entry-header"><h2>Heading</h2>by me</div><p>{"An article of some length. " * 9}</p></div></body>'
+    assert html_text.extract(page, [])[0] == "Title Heading " + ("An article of some length. " * 9).strip()
+
+
+def test_articles_in_parts():
+    text = "Words of a part, some and more and more. " * 4
+    page = f'<body><nav>Menu</nav><div class="c"><div class="part"><p>{text}</p></div><section class="x"><p>{text}</p></section><div class="links"><a>{text}</a></div></div><div>Unnamed, {text}</div></body>'
+    path = ">body>div.c>div.part"
+    assert html_text.vote(page.replace("section", "i"))[0].startswith(">body>div.c")
+    assert html_text.extract(page, [path]) == ((text + text).strip(), path)
+    # Paths that the host's other pages voted for count as well, but neither around nor inside of what is taken.
+    assert html_text.extract(page, [path, ">body>div.c", ">body>div"]) == (f"{text}{text}Unnamed, {text}".strip(), f"{path} >body>div")
+
+
+@pytest.mark.parametrize("markup", ["<div>", '<div class="a">', "<b>", '<a "', "<a x='", "<p><b>", "<i></b>", "<!--", "<", "</div>", "<script>", "<li><span>"])
+def test_long_markup_takes_linear_time_and_memory(markup):
+    page = "<p>First words of the page.</p>" + markup * 100_000
+    began = time.process_time()
+    assert html_text.extract(page, [">body>div"])[0].startswith("First words of the page.")
+    assert time.process_time() - began < 6
+    tracemalloc.start()
+    html_text.parse(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
