@@ -2,7 +2,8 @@
 
 1. One pass over whole texts gives each document the set of its word shingles as 64-bit hashes, 24 band keys of 4
    MinHash values each, and an odd sketch: the minima of a one-permutation MinHash folded into a bitmap of parities.
-2. Documents with equal sets collapse into a class, named by its smallest doc_id, before any pair is thought of.
+2. Documents with equal sets collapse into a class, named by the number of one of its rows, before any pair is thought
+   of. Rows are numbered, so that rows that repeat an id with another text are in classes of their own.
 3. Classes that share a band key are candidates. The population count of two sketches' XOR estimates their
    similarity; pairs with an estimate far below the threshold go. What stays is passed on as a spanning forest.
 4. The components of these forests are small groups of texts that may be alike. Their full sets meet once, links
@@ -104,7 +105,7 @@ def estimates(one: np.ndarray, others: np.ndarray, filled: np.ndarray, sizes: np
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, d1, d2, bands, sketch, filled) of every row; d1 and d2 name the set, or the row if it is empty."""
+    """(doc_id, text_hash, n, d1, d2, bands, sketch, filled) of every row; d1 and d2 name the set."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -114,8 +115,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 found = shingles(text, size, words)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
                 n.append(len(found))
-                d1.append(int(digest[0]) if len(found) else key or 0)
-                d2.append(int(digest[1]) if len(found) else len(found))
+                d1.append(int(digest[0]))
+                d2.append(int(digest[1]))
                 bands.append(band_keys(found) if len(found) and key is not None else np.empty(0, np.int64))
                 s, k = odd_sketch(found)
                 sketches.append(s)
@@ -123,12 +124,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*bands, np.empty(0, np.int64)]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), keys, pa.array(sketches, pa.binary()), pa.array(filled, pa.int32())],
-                names=["doc_id", "n", "d1", "d2", "bands", "sketch", "filled"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), keys, pa.array(sketches, pa.binary()), pa.array(filled, pa.int32())],
+                names=["doc_id", "text_hash", "n", "d1", "d2", "bands", "sketch", "filled"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary, filled int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>, sketch binary, filled int")
 
 
 def paired_blocks(rows: DataFrame, key: str, member: str, blocks: Column) -> DataFrame:
@@ -250,65 +251,90 @@ def confirmed_forest(sets: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("group", "_i", "_j", "_b", "id", "shingles").mapInArrow(run, "u long, v long")
 
 
-def clusters(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``threshold``.
-    Null and empty texts and texts without words have the empty set and are linked with nothing. A row without an id
-    is linked with nothing; its component_id is null and it is kept. Repeated rows are all returned; rows that repeat
-    an id with another text are judged by their own text. Other columns are ignored; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    signed = settle(signatures(docs, size), "signatures")
+def judged(docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(doc_id, text_hash, n, root, least) of every row: the component's number, null for rows that are linked with
+    nothing by rule, and the component's smallest doc_id."""
+    signed = settle(signatures(docs, size).withColumn("row", F.monotonically_increasing_id()), "signatures")
     named = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = signed.where(named).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = signed.where(named).groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
     classes = settle(classes, "classes")
 
-    reps = signed.where(named).join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    reps = settle(reps.select(F.col("doc_id").alias("id"), "n", "bands", "sketch", "filled").dropDuplicates(["id"]), "classes-signed")
+    reps = signed.where(named).join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = settle(reps.select(F.col("row").alias("id"), "doc_id", "d1", "d2", "n", "bands", "sketch", "filled"), "classes-signed")
     rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     dealt = paired_blocks(rows.join(shared, "key"), "key", "id", F.ceil(F.col("m") / BLOCK_MEMBERS)).drop("m")
     bucketed = dealt.join(reps.select("id", "n", "filled", "sketch"), "id")
     loose = components(candidate_forest(bucketed, threshold))
     members = loose.select(F.col("u").alias("id"), F.col("v").alias("group"))
-    members = settle(members.unionByName(members.select(F.col("group").alias("id"), "group").distinct()), "groups")
-    discard(reps)
+    members = members.unionByName(members.select(F.col("group").alias("id"), "group").distinct())
+    members = settle(members.join(reps.select("id", "doc_id", "d1", "d2"), "id"), "groups")
+    discard(reps, loose)
 
     def sets(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        """The sets of the rows whose set is their class's. Repeated rows of a class pass once in a task; more of
+        them, from other tasks, add nothing to a group but their own equal set."""
+        words, passed = Words(), set()
         for b in rows:
-            found = [shingles(t, size, words) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("group"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
-                names=["id", "group", "n", "shingles"],
-            )
-
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), whole().alias("text"))
-    full = settle(small_join(wanted, members, ["id"], "inner", 24).mapInArrow(sets, "id long, group long, n long, shingles binary").where("n > 0"), "sets")
+            take, n, found = [], [], []
+            digests = zip(b.column("id").to_pylist(), b.column("d1").to_pylist(), b.column("d2").to_pylist(), texts(b.column("text")), strict=True)
+            for i, (key, d1, d2, text) in enumerate(digests):
+                own = shingles(text, size, words)
+                if key not in passed and np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist() == [d1, d2]:
+                    passed.add(key)
+                    take.append(i)
+                    n.append(len(own))
+                    found.append(own.tobytes())
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("group").take(at), pa.array(n, pa.int64()), pa.array(found, pa.binary())], names=["id", "group", "n", "shingles"])
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+    joined = small_join(wanted, members, ["doc_id"], "inner", 48).select("id", "group", "d1", "d2", "text")
+    full = settle(joined.mapInArrow(sets, "id long, group long, n long, shingles binary"), "sets")
     sizes = full.groupBy("group").agg(F.sum("n").alias("m"))
     dealt = paired_blocks(full.join(sizes, "group"), "group", "id", F.ceil(F.col("m") / BLOCK_SHINGLES))
     linked = components(confirmed_forest(dealt, threshold))
     discard(full, members)
 
-    component = classes.join(linked.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-    component = component.select("d1", "d2", F.coalesce("root", "rep").alias("_root"))
-    found = signed.select("doc_id", "n", "d1", "d2").join(component, ["d1", "d2"], "left")
-    own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("_root"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    # Only classes in links can have another's smallest id.
+    inside = linked.select(F.col("u").alias("rep"), F.col("v").alias("root"))
+    inside = inside.unionByName(inside.select(F.col("root").alias("rep"), "root").distinct())
+    smallest = inside.join(classes.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("smallest"))
+    component = classes.join(inside.join(smallest, "root"), "rep", "left")
+    component = component.select("d1", "d2", F.coalesce("root", "rep").alias("root"), F.coalesce("smallest", "least").alias("least"))
+    columns = ("doc_id", "text_hash", "n", "root", "least")
+    alone = signed.where(~named).select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("least"))
+    return signed.where(named).select("doc_id", "text_hash", "n", "d1", "d2").join(component, ["d1", "d2"]).select(*columns).unionByName(alone)
+
+
+def clusters(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is at least ``threshold``.
+    Null and empty texts and texts without words have the empty set and are linked with nothing. A row without an id
+    is linked with nothing; its component_id is null and it is kept. Repeated rows are all returned; rows that repeat
+    an id with another text are judged by their own text. Other columns are ignored; an empty table gives no rows.
+    """
+    found = judged(docs, size, threshold)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its group. Rows that repeat an id and a text
-    are one document and stay once; rows without an id all stay."""
-    judged = clusters(docs, size, threshold)
-    gone = settle(judged.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    repeated = settle(judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_again")), "repeated")
+    """One row of ``docs``, all columns, of each group: that with the smallest id, and of rows that repeat this id the
+    one whose text has the smallest hash. Rows that repeat an id and a text stay once, though without words or links;
+    rows without an id all stay; an empty table gives no rows."""
+    rows = settle(judged(docs, size, threshold), "judged")
+    first = rows.where("root is not null and doc_id = least").groupBy("root").agg(F.count_distinct("text_hash").alias("texts"), F.min("text_hash").alias("first"))
+    gone = rows.where("doc_id <> least").select("doc_id", "text_hash")
+    several = first.where("texts > 1").drop("texts")
+    gone = gone.unionByName(small_join(rows, settle(several, "repeated-ids"), ["root"], "inner", 24).where("doc_id = least and text_hash <> first").select("doc_id", "text_hash"))
+    gone = settle(gone.distinct(), "duplicates")
+    again = settle(rows.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash", F.lit(True).alias("_again")), "repeated")
     # The row goes along as one column, so that no column of its own can clash.
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_whole"))
-    stay = small_join(rows, gone, ["doc_id"], "left_anti", 16)
-    if repeated.isEmpty():
+    whole_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct("*").alias("_whole"))
+    stay = small_join(whole_rows, gone, ["doc_id", "text_hash"], "left_anti", 24)
+    if again.isEmpty():
         return stay.select("_whole.*")
-    marked = small_join(stay, repeated, ["doc_id"], "left", 16)
+    marked = small_join(stay, again, ["doc_id", "text_hash"], "left", 24)
     once = marked.where("_again is null").select("_whole")
-    return once.unionByName(marked.where("_again").dropDuplicates(["doc_id", "text"]).select("_whole")).select("_whole.*")
+    return once.unionByName(marked.where("_again").dropDuplicates(["doc_id", "text_hash"]).select("_whole")).select("_whole.*")

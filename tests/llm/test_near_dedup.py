@@ -87,3 +87,13 @@ def test_one_of_each_keeps_columns(spark, odd_docs, no_docs):
     assert sum(none for none, _ in ids) == 2
     assert set(map(repr, kept.collect())) <= set(map(repr, odd_docs.collect()))
     assert near_dedup.one_of_each(no_docs).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(7, a), (7, b), (8, a + " tail"), (9, b + " tail"), (3, b + " end"), (7, a + " more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.clusters(frame, 4).collect())
+    assert got == [(3, 58, 3, True), (7, 57, 3, False), (7, 57, 7, True), (7, 58, 7, True), (8, 58, 7, False), (9, 58, 3, False)]
+    kept = sorted(tuple(r) for r in near_dedup.one_of_each(frame).collect())
+    assert len(kept) == 2 and kept[0] == (3, b + " end") and kept[1] in [(7, a), (7, a + " more")]
