@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by an exact metric range join.
 
 Unit vectors with a cosine of at least t lie within r = sqrt(2 - 2 t) of each other. Pivots cut the vectors of a label
-into cells, each vector at home in the cell of its nearest pivot. By the triangle inequality a vector y can lie within
-r of a vector at home with pivot p only if d(y, p) <= d(y, nearest pivot) + 2 r; it is copied to those cells. Each
-cell then compares its own vectors with all it holds, independently of other cells, so every link is found where
-either end is at home, and the count of links at a vector's home is complete.
+into cells, each vector at home in the cell of its nearest pivot. A vector x at home with pivot p is on p's side of the
+plane midway between p and any other pivot q. By the triangle inequality a vector y within r of x is then no farther
+than r beyond that plane, and its distance to the plane is (d(y, p)^2 - d(y, q)^2) / (2 d(p, q)); with q the nearest
+pivot of y that decides to which cells y is copied. It never exceeds the bound d(y, p) <= d(y, q) + 2 r of the distances
+alone. Each cell then compares its own vectors with all it holds, independently of other cells, so every link is found
+where either end is at home, and the count of links at a vector's home is complete.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def cells(classes: DataFrame, cut: DataFrame, radius: float) -> DataFrame:
     """Copies of each vector: (label, dim, cell, home, id, mult, unit)."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, np.ndarray] = {}
+        known: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for b in rows:
             label, dim = b.column("label").to_pylist(), b.column("dim").to_pylist()
             unit, cut = b.column("unit"), b.column("pivots")
@@ -102,10 +104,12 @@ def cells(classes: DataFrame, cut: DataFrame, radius: float) -> DataFrame:
                 if key not in known:
                     if len(known) > 256:
                         known.clear()
-                    known[key] = np.stack([np.frombuffer(x) for x in cut[i].as_py()])
-                d = np.sqrt(np.maximum(0, ((known[key] - np.frombuffer(unit[i].as_py())) ** 2).sum(1)))
+                    at = np.stack([np.frombuffer(x) for x in cut[i].as_py()])
+                    known[key] = at, np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+                at, between = known[key]
+                d = ((at - np.frombuffer(unit[i].as_py())) ** 2).sum(1)
                 own = int(d.argmin())
-                for p in np.flatnonzero(d <= d[own] + 2 * radius + SLACK).tolist():
+                for p in np.flatnonzero(d - d[own] <= 2 * between[own] * radius + SLACK).tolist():
                     take.append(i)
                     cell.append(p)
                     home.append(p == own)
@@ -195,19 +199,25 @@ def linked_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     Vectors of equal labels and equal lengths are linked if their cosine is at least ``least``. Null, empty and zero
     vectors, those with null or non-finite components, and rows without a label or an id are linked with nothing and
     kept; component_id is then vec_id. Equal unit vectors of a label collapse into a class before the join and count
-    one another. Other columns are ignored; an empty table gives no rows.
+    one another. Every row has one row in the result, also where rows repeat an id, each by its own vector. Other
+    columns are ignored; an empty table gives no rows.
     """
-    rows = settle(unit_vectors(vectors), "units")
+    rows = settle(unit_vectors(vectors).withColumn("row", F.monotonically_increasing_id()), "units")
     able = rows.where("unit is not null")
-    named = able.groupBy("label", "dim", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("mult"))
-    units = able.select("label", "dim", "h1", "h2", "id", "unit").dropDuplicates(["label", "dim", "h1", "h2", "id"])
-    classes = settle(units.join(named, ["label", "dim", "h1", "h2", "id"]), "vector-classes")
+    # A class is named by the number of one of its rows: rows that repeat an id with another vector are in another class.
+    named = settle(able.groupBy("label", "dim", "h1", "h2").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count("*").alias("mult")), "vector-names")
+    units = able.select("row", "unit").join(named, "row")
+    classes = settle(units.withColumnRenamed("row", "id"), "vector-classes")
     copies = settle(cells(classes, settle(pivots(classes), "pivots"), math.sqrt(max(0.0, 2 - 2 * least))), "cells")
     found = settle(cell_links(copies, least), "links")
     linked = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    per = classes.select("label", "dim", "h1", "h2", "id", "mult").join(found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("links")), "id", "left")
-    per = per.join(linked.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-    per = per.select("label", "dim", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("root", "id").alias("root"))
+    per = named.join(found.where("kind = 0").select(F.col("a").alias("row"), F.col("b").alias("links")), "row", "left")
+    # Only classes in links can have another's smallest id.
+    inside = linked.select(F.col("u").alias("row"), F.col("v").alias("root"))
+    inside = inside.unionByName(inside.select(F.col("root").alias("row"), "root").distinct())
+    smallest = inside.join(named.select("row", "least"), "row").groupBy("root").agg(F.min("least").alias("smallest"))
+    per = per.join(inside.join(smallest, "root").select("row", "smallest"), "row", "left")
+    per = per.select("label", "dim", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("smallest", "least").alias("root"))
     joined = able.select("id", "label", "dim", "h1", "h2").join(per, ["label", "dim", "h1", "h2"])
     out = joined.select("id", "n", "root").unionByName(rows.where("unit is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("root")))
     return out.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("root").alias("component_id"), F.col("id").eqNullSafe(F.col("root")).alias("kept"))

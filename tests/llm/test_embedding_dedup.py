@@ -48,3 +48,9 @@ def test_odd_vectors(spark):
     assert got.pop(1) == (2, 1, True) and got.pop(2) == (2, 1, False) and got.pop(11) == (2, 1, False)
     assert all(v == (0, k, True) for k, v in got.items()) and len(got) == 10
     assert embedding_dedup.linked_vectors(frame.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(7, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (8, [1.0, 0.01], 0), (9, [0.01, 1.0], 0), (5, [0.0, 2.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(5, 2, 5), (7, 1, 7), (7, 2, 5), (8, 1, 7), (9, 2, 5)]
