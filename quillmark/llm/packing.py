@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import texts, whole
+from quillmark.llm.common import settle, small_join, texts, whole
 from quillmark.llm.token_output import chunked, encoder
 
 #: Tokens of a sequence, pieces of one source in it, and documents of a shard.
@@ -94,36 +94,53 @@ def pack_shard(n_tokens: list[int], sources: list[str | None], clusters: list[in
     return out
 
 
-def measured(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, source, n_tokens (with the end id) and cluster (a hash of the lower-cased words) of every row, and
-    the row's shard. Rows of files keep to the files' order: a shard is a run of one file. Others are dealt by id."""
+def measured(docs: DataFrame, vocabulary: str, in_order: bool, cluster: str | None) -> DataFrame:
+    """shard, doc_id, source, n_tokens (with the end id) and cluster of every row.
+
+    In order, shards are runs of the rows of all files, by the files' paths and the rows' places in them. Otherwise
+    rows are dealt to shards by a hash of their place, so that sources and repeated rows spread over all shards however
+    the files are sorted. The cluster is the column of that name, or a hash of the lower-cased words."""
+    names = ["doc_id", "source", "text"] + ([cluster] if cluster else [])
     try:
-        place = docs.select(F.concat_ws(":", F.col("_metadata.file_name"), F.floor(F.col("_metadata.row_index") / SHARD)).alias("shard"), "doc_id", "source", "text")
-    except AnalysisException:
-        shards = max(1, -(-docs.count() // SHARD))
-        place = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("string").alias("shard"), "doc_id", "source", "text")
+        rows = docs.select(*names, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files: rows are numbered by their partitions
+        rows = docs.select(*names, F.spark_partition_id().cast("string").alias("_path"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"))
+    counts = settle(rows.groupBy("_path").agg(F.count("*").alias("n")), "files")
+    if in_order:
+        before = F.coalesce(F.sum("n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        place = small_join(rows, settle(counts.select("_path", before.alias("_before")), "file-starts"), ["_path"], "inner", 300)
+        shard = F.floor((F.col("_before") + F.col("_row")) / SHARD)
+    else:
+        n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        place, shard = rows, F.pmod(F.xxhash64("_path", "_row"), F.lit(max(1, -(-n // SHARD))))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in chunked(rows, "text"):
             found = texts(b.column("text"))
             n = enc.count(b.column("text")) + 1
-            same = np.array([xxhash.xxh64_intdigest(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")) for t in found], np.uint64).view(np.int64)
+            if cluster:
+                same = b.column("cluster").to_numpy(zero_copy_only=False)
+            else:
+                same = np.array([xxhash.xxh64_intdigest(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")) for t in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), pa.array(same)], names=["shard", "doc_id", "source", "n_tokens", "cluster"])
 
-    rows = place.select("shard", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), whole().alias("text"))
+    own = F.coalesce(F.col(cluster).cast("long"), F.xxhash64("_path", "_row")) if cluster else F.lit(0).cast("long")
+    rows = place.select(shard.cast("string").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), whole().alias("text"), own.alias("cluster"))
     return rows.mapInArrow(run, "shard string, doc_id long, source string, n_tokens long, cluster long")
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, per_source: int = PER_SOURCE, in_order: bool = False, cluster: str | None = None) -> DataFrame:
     """bin_id, bin_start, doc_id, source, piece, start, n_tokens of every piece of every row.
 
     A bin holds at most ``capacity`` tokens, at most ``per_source`` pieces of one source and no two pieces of one
-    duplicate cluster. Null texts are empty and hold their end id alone; null sources are one source; null ids and
+    duplicate cluster: rows of equal lower-cased words, or of equal values in the column ``cluster``, such as the
+    component_id of near duplicates (null: a cluster of its own). Bins stay within a shard, so which rows can meet
+    depends on the rows' places in the files, and with ``in_order`` they are neighbours there. Null texts are empty and hold their end id alone; null sources are one source; null ids and
     repeated rows are packed like others; other columns are ignored; an empty table gives no rows. Shards are of
     bounded size and packed independently, so only numbers are shuffled and tasks do not grow with the input.
     """
-    rows = measured(docs, vocabulary).repartition("shard").sortWithinPartitions("shard", F.desc("n_tokens"), F.col("doc_id").asc_nulls_first(), "cluster")
+    rows = measured(docs, vocabulary, in_order, cluster).repartition("shard").sortWithinPartitions("shard", F.desc("n_tokens"), F.col("doc_id").asc_nulls_first(), "cluster")
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}

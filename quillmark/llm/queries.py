@@ -65,7 +65,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op2_packing": op2_packing,
     "op3_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings
