@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that may be broadcast by a counted join, and the bytes they may take (rows times the stated width).
@@ -18,8 +18,10 @@ BROADCAST_BYTES = 16 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without, as in tests."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (where or f"file://{tempfile.gettempdir()}/quillmark-scratch").rstrip("/")
 
 
@@ -65,6 +67,20 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, chars: int) -> DataFrame:
+    """(doc_id, text, _label) of labelled documents that aren't held out, the first in the order of their ids' hashes:
+    at most ``limit`` of them and ``chars`` code points in all. An id with several labels has the greatest, and one
+    with several texts the smallest, so an id is one row however often it is in either table."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("_label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = settle(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label")), "sample")
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = rows.select("doc_id", so_far.alias("_chars")).where(F.col("_chars") <= chars).select("doc_id")
+    return rows.join(F.broadcast(within), "doc_id")
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, width: int) -> DataFrame:
     """Join on equal keys. ``small`` is settled first and broadcast only if its counted rows times
     ``width`` bytes are within the bound; otherwise the join shuffles and skewed keys are split at run time."""

@@ -1,7 +1,9 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad from bucketed features of itself and of the lines before and after it. The
-document's score aggregates the forward-backward marginals, weighted by line lengths, through a fitted logistic.
+document's score aggregates the forward-backward marginals, weighted by line lengths, through a fitted logistic. Only
+documents have labels: in training every line has its document's, so weights of transitions are learned from pure
+documents, and lines of mixed ones from all those that look like them.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import held_out, texts, whole
+from quillmark.llm.common import held_out, texts, training_sample, whole
 
-#: The most labelled documents that are gathered to fit the field.
-SAMPLE = 6_000
+#: The most labelled documents, and code points in them, that are gathered to fit the field.
+SAMPLE, SAMPLE_CHARS = 6_000, 40_000_000
 THRESHOLD = 0.3
 EPOCHS, STEP, DECAY = 120, 0.05, 1e-3
 
@@ -222,11 +224,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Field:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Line features and labels of at most ``limit`` labelled documents that aren't held out, the first in hash order."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id")
+    """Line features and labels of a bounded sample of the labelled documents that aren't held out."""
+    rows = training_sample(docs, labels, label, limit, SAMPLE_CHARS)
 
     def featured(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -271,6 +270,7 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, with a field learned from ``labels``."""
+    """doc_id, held_out, score, predicted of every document, with a field learned from ``labels``. Of an id's labels
+    the greatest counts."""
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import held_out, texts, whole
+from quillmark.llm.common import held_out, texts, training_sample, whole
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of the prefixes that count as terms of their own.
@@ -25,8 +25,8 @@ PREFIXES = (4, 5, 6)
 HASH_BITS = 20
 #: Words whose terms a worker keeps.
 CACHED_WORDS = 100_000
-#: The most labelled documents that are gathered to fit the machine.
-SAMPLE = 8_000
+#: The most labelled documents, and code points in them, that are gathered to fit the machine.
+SAMPLE, SAMPLE_CHARS = 8_000, 60_000_000
 #: Terms kept: the strongest by the z-score of their document frequencies in the two classes.
 TERMS, LEAST_Z, LEAST_DOCS = 2_000, 4.0, 5
 RANK, EPOCHS, STEP, DECAY = 8, 250, 0.03, 2e-3
@@ -130,11 +130,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``limit`` labelled documents that aren't held out, the first in hash order."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id")
+    """Features and labels of a bounded sample of the labelled documents that aren't held out."""
+    rows = training_sample(docs, labels, label, limit, SAMPLE_CHARS)
 
     def featured(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -197,7 +194,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that a machine learned from ``labels`` scores below the threshold."""
+    """The rows of ``docs``, all columns, that a machine learned from ``labels`` scores below the threshold. Null texts
+    are empty; null ids and repeated rows are judged like others; an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def clean(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +207,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, with a machine learned from ``labels``."""
+    """doc_id, held_out, score, predicted of every document, with a machine learned from ``labels``. Of an id's labels
+    the greatest counts."""
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
