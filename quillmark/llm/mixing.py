@@ -3,18 +3,21 @@
 Each source is cut into blocks of about equal size. A block j of a source with weight w has the release time
 floor(j / w) and the deadline ceil((j + 1) / w); in each slot the released block with the earliest deadline goes next.
 Every source then has, after any number of slots t, w t blocks give or take less than one. Weights are exact ratios of
-integers and the driver deals every slot, so nothing is rounded however long the input: it holds three integers for
-each block of 65,536 code points, about 460,000 blocks for 30 GB. When a source has no blocks left, a new phase begins
-with the weights of the others.
+integers, so nothing is rounded however long the input. One task deals the blocks one after the other and writes them in
+runs; it holds a few numbers for each source and takes some microseconds for a block, and the driver holds nothing. When
+a source has no blocks left, a new phase begins with the weights of the others.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from quillmark.llm.common import settle, small_join, whole
 #: Code points of a block, and rows of the groups in which rows are numbered.
 BLOCK, GROUP = 65_536, 20_000
 #: Blocks of a source in one row of the joined schedule.
-RUN = 4_096
+RUN = 512
 #: Without a target, a source weighs its size to this power.
 TEMPERATURE = 0.5
 
@@ -32,74 +35,45 @@ def shares(weights: Mapping[str, float]) -> dict[str, int]:
     """Integers in the exact proportions of the weights as they are written."""
     exact = {n: Fraction(repr(w)) for n, w in weights.items()}
     scale = math.lcm(*(x.denominator for x in exact.values()))
-    scaled = {n: int(x * scale) for n, x in exact.items()}
-    common = math.gcd(*scaled.values())
-    return {n: x // common for n, x in scaled.items()}
-
-
-def earliest(parts: Mapping[str, int], blocks: Mapping[str, int], most: float = math.inf) -> dict[str, list[int]]:
-    """Slots of each source's blocks by earliest deadline first among the released, until a source has none left or
-    ``most`` slots are dealt."""
-    period, names = sum(parts.values()), sorted(parts)
-    weight, left = [parts[n] for n in names], [blocks[n] for n in names]
-    slots: list[list[int]] = [[] for _ in names]
-    ready = [(-(-period // w), k) for k, w in enumerate(weight)]
-    heapq.heapify(ready)
-    waiting: dict[int, list[tuple[int, int]]] = {}
-    t = 0
-    while True:
-        for x in waiting.pop(t, ()):
-            heapq.heappush(ready, x)
-        k = heapq.heappop(ready)[1]
-        slots[k].append(t)
-        t, j = t + 1, len(slots[k])
-        if j == left[k] or t == most:
-            return dict(zip(names, slots, strict=True))
-        w = weight[k]
-        waiting.setdefault(max(t, j * period // w), []).append((-(-(j + 1) * period // w), k))
-
-
-def period_slots(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period of integer weights."""
-    return earliest(parts, {n: x + 1 for n, x in parts.items()}, sum(parts.values()))
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, list[tuple[int, int, int, int, list[int]]]]:
-    """For each source its phases: first block, first slot, its blocks and all slots in the phase, their places."""
-    left, done, base = {n: b for n, b in blocks.items() if b > 0}, dict.fromkeys(blocks, 0), 0
-    out: dict[str, list[tuple[int, int, int, int, list[int]]]] = {n: [] for n in blocks}
-    while left:
-        slots = earliest(shares({n: weights[n] for n in left}), left)
-        end = sum(map(len, slots.values()))
-        for n, places in slots.items():
-            out[n].append((done[n], base, len(places), end, places))
-            done[n] += len(places)
-        left = {n: blocks[n] - done[n] for n in left if blocks[n] > done[n]}
-        base += end
-    return out
-
-
-def dealt(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, tuple[list[int], list[int], list[int]]]:
-    """Slot, release and deadline of every block of each source, in the order of its blocks."""
-    plan = phases(blocks, weights)
-    within: dict[int, list[str]] = {}
-    for n, parts in plan.items():
-        for p in parts:
-            within.setdefault(p[1], []).append(n)
-    exact = {base: shares({n: weights[n] for n in names}) for base, names in within.items()}
-    total = {base: sum(parts.values()) for base, parts in exact.items()}
-    out = {}
-    for n, parts in plan.items():
-        slot: list[int] = []
-        release: list[int] = []
-        deadline: list[int] = []
-        for _, base, count, _, places in parts:
-            w, period = exact[base][n], total[base]
-            slot += [base + t for t in places]
-            release += [base + j * period // w for j in range(count)]
-            deadline += [base - (-(j + 1) * period // w) for j in range(count)]
-        out[n] = slot, release, deadline
-    return out
+    return {n: int(x * scale) for n, x in exact.items()}
+
+
+def dealt(blocks: Mapping[str, int], weights: Mapping[str, float], run: int = RUN) -> Iterator[tuple[str, int, list[int], list[int], list[int]]]:
+    """(source, run, slots, releases, deadlines) for runs of ``run`` blocks of each source in their order.
+
+    In each slot the released block with the earliest deadline goes next, ties by the order of names; a phase ends with
+    the last block of a source and the next begins there. All arithmetic is in integers. What is held is a few numbers
+    and an unfinished run for each source, whatever the number of blocks."""
+    names = sorted(n for n, b in blocks.items() if b > 0)
+    weight = shares({n: weights[n] for n in names}) if names else {}
+    done = dict.fromkeys(names, 0)
+    open_runs = {n: (array("q"), array("q"), array("q")) for n in names}
+    base = 0
+    while names:
+        period = sum(weight[n] for n in names)
+        ready = [(-(-period // weight[n]), k, 0) for k, n in enumerate(names)]
+        heapq.heapify(ready)
+        waiting: list[tuple[int, int, int, int]] = []  # release, deadline, source, block of the phase
+        t = 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                heapq.heappush(ready, heapq.heappop(waiting)[1:])
+            deadline, k, j = heapq.heappop(ready)
+            n = names[k]
+            w, columns = weight[n], open_runs[n]
+            for column, x in zip(columns, (base + t, base + j * period // w, base + deadline), strict=True):
+                column.append(x)
+            t, j = t + 1, j + 1
+            done[n] += 1
+            last = done[n] == blocks[n]
+            if last or len(columns[0]) == run:
+                yield n, (done[n] - 1) // run, *(c.tolist() for c in columns)
+                open_runs[n] = (array("q"), array("q"), array("q"))
+            if last:
+                break
+            heapq.heappush(waiting, (j * period // w, -(-(j + 1) * period // w), k, j))
+        base += t
+        names = [x for x in names if x != n]
 
 
 def _keyed(docs: DataFrame, groups: int) -> DataFrame:
@@ -112,6 +86,24 @@ def _keyed(docs: DataFrame, groups: int) -> DataFrame:
     return rows.withColumn("_tie", F.xxhash64("text"))  # here, so that texts that nobody asks for aren't shuffled
 
 
+def _dealer(targets: Mapping[str, float]):
+    """All sources' rows (_source, size, n) to the runs of the schedule, written as they are dealt."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, blocks = {}, {}
+        for b in rows:
+            for s, size, n in zip(b.column("_source").to_pylist(), b.column("size").to_pylist(), b.column("n").to_pylist(), strict=True):
+                sizes[s], blocks[s] = size, n
+        weights = {s: float(targets.get(s) or 0) or size**TEMPERATURE for s, size in sizes.items()}
+        found = dealt(blocks, weights)
+        while held := list(itertools.islice(found, 256)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["_source", "_run", "_slots", "_releases", "_deadlines"]
+            )
+
+    return run
+
+
 def _before(column: str) -> Column:
     """Sum of a column over the earlier groups of the source."""
     by = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,8 +123,7 @@ def _grouped(docs: DataFrame, groups: int, starts: DataFrame) -> DataFrame:
 
 def scheduled(docs: DataFrame, targets: Mapping[str, float] | None = None) -> tuple[DataFrame, int]:
     """``docs`` with the columns _source, _block, _slot, _release, _deadline and _within (the row's place in its
-    block), and the number of slots. The driver sees one row for each source and deals their blocks."""
-    spark = docs.sparkSession
+    block), and the number of slots. One task deals the blocks, from a row for each source, into a table of runs."""
     groups = max(1, -(-docs.count() // GROUP))
     narrow = docs.select("doc_id", "source", "text")
     sizes = _keyed(narrow, groups).groupBy("_source", "_group").agg(F.count("*").alias("rows"), F.sum("_size").alias("size"))
@@ -146,21 +137,16 @@ def scheduled(docs: DataFrame, targets: Mapping[str, float] | None = None) -> tu
     offsets = counted.select("_source", "_group", (_before("fresh") - F.col("again")).alias("_first"))
     offsets = starts.join(offsets, ["_source", "_group"])
     blocks = counted.groupBy("_source").agg(F.sum("fresh").alias("n"))
-    totals = {r["_source"]: (r["n"], r["size"]) for r in sizes.groupBy("_source").agg(F.sum("size").alias("size")).join(blocks, "_source").collect()}
-    given = targets or {}
-    weights = {s: float(given.get(s, 0)) or size**TEMPERATURE for s, (_, size) in totals.items()}
-    plan = dealt({s: n for s, (n, _) in totals.items()}, weights)
-    runs = [(s, k // RUN, *(x[k : k + RUN] for x in columns)) for s, columns in plan.items() for k in range(0, len(columns[0]), RUN)]
-    table = spark.createDataFrame(runs, "_source string, _run long, _slots array<int>, _releases array<int>, _deadlines array<int>")
+    totals = settle(sizes.groupBy("_source").agg(F.sum("size").alias("size")).join(blocks, "_source"), "mix-sources")
+    plan = settle(totals.coalesce(1).mapInArrow(_dealer(targets or {}), "_source string, _run long, _slots array<long>, _releases array<long>, _deadlines array<long>"), "mix-plan")
 
     rows = _grouped(docs, groups, settle(offsets, "mix-offsets"))
     rows = rows.withColumn("_block", F.col("_first") + F.col("_local")).withColumn("_run", F.expr(f"_block div {RUN}"))
-    width = max((64 + 12 * len(x[2]) for x in runs), default=1)
-    rows = small_join(rows, table, ["_source", "_run"], "inner", width)
+    rows = small_join(rows, plan, ["_source", "_run"], "inner", 64 + 24 * RUN)
     for name, column in (("_slot", "_slots"), ("_release", "_releases"), ("_deadline", "_deadlines")):
-        rows = rows.withColumn(name, F.expr(f"cast(element_at({column}, cast(_block % {RUN} + 1 as int)) as long)"))
+        rows = rows.withColumn(name, F.expr(f"element_at({column}, cast(_block % {RUN} + 1 as int))"))
     rows = rows.withColumnRenamed("_row", "_within").drop("_run", "_slots", "_releases", "_deadlines", "_raw", "_group", "_size", "_tie", "_place", "_rows", "_start", "_local", "_first")
-    return rows, sum(n for n, _ in totals.values())
+    return rows, totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def schedule(docs: DataFrame, targets: Mapping[str, float] | None = None) -> DataFrame:

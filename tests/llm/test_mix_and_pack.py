@@ -1,6 +1,7 @@
-import math
 import random
+import tracemalloc
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
@@ -10,41 +11,44 @@ from quillmark.llm import mixing, packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 2, "c": 0.1}, {f"s{i}": i + 1 for i in range(23)}])
-def test_period_keeps_within_one_block(weights):
-    parts = mixing.shares(weights)
-    period, slots = sum(parts.values()), mixing.period_slots(parts)
-    assert sorted(t for s in slots.values() for t in s) == list(range(period))
-    for n, places in slots.items():
-        for j, t in enumerate(places):
-            assert j * period // parts[n] <= t < -(-(j + 1) * period // parts[n])
-        for t in range(period + 1):
-            assert abs(sum(p < t for p in places) - parts[n] * t / period) < 1
-
-
-def test_every_block_has_one_slot_over_all_phases():
-    blocks = {"a": 5000, "b": 700, "c": 1, "d": 0}
-    plan = mixing.phases(blocks, {"a": 1.0, "b": 1.0, "c": 0.5, "d": 1.0})
-    taken = []
-    for n, b in blocks.items():
-        for j in range(b):
-            first, base, part, period, slots = [p for p in plan[n] if p[0] <= j][-1]
-            taken.append(base + (j - first) // part * period + slots[(j - first) % part])
-    assert sorted(taken) == list(range(5701))
+RNG = random.Random(12)
 
 
 @pytest.mark.parametrize(
-    "weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"hot": 9e9**0.5, **{f"s{i}": (1e9 + i) ** 0.5 for i in range(19)}}]
+    "weights",
+    [{"a": 1.0, "b": 1.0}, {"a": 5.0, "b": 2.0, "c": 0.1}, {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"hot": 9e9**0.5, **{f"s{i}": (1e9 + i) ** 0.5 for i in range(19)}}, {f"r{i:03}": RNG.random() for i in range(300)}],
 )
-def test_targets_are_kept_over_many_periods(weights):
-    total, slots = sum(weights.values()), 60_000
-    plan = mixing.phases({n: math.ceil(slots * w / total) + 1 for n, w in weights.items()}, weights)
-    for n, w in weights.items():
-        (first, base, part, period, places), end = plan[n][0], min(plan[m][1][1] if len(plan[m]) > 1 else 10**9 for m in weights)
-        taken = sorted(t for j in range(part * -(-end // period)) if (t := base + j // part * period + places[j % part]) < end)
-        assert end >= slots
-        for j, t in enumerate(taken):
-            assert abs(j - w / total * t) < 1 and abs(j + 1 - w / total * (t + 1)) < 1
+def test_targets_are_kept_in_every_phase(weights):
+    """Against the given weights, at every slot, over a hundred rounds of the sources and to the end of all phases."""
+    blocks = {n: RNG.randrange(1, 200) if k % 3 else 2_000 for k, n in enumerate(weights)}
+    rows: dict = {n: [] for n in weights}
+    for n, run, *columns in mixing.dealt(blocks, weights, run=7):
+        assert run == len(rows[n]) // 7 and 0 < len(columns[0]) <= 7
+        rows[n] += list(zip(*columns, strict=True))
+    assert {n: len(x) for n, x in rows.items()} == blocks
+    order = sorted((slot, n) for n, x in rows.items() for slot, _, _ in x)
+    assert [slot for slot, _ in order] == list(range(sum(blocks.values())))
+    assert all(release <= slot < deadline for x in rows.values() for slot, release, deadline in x)
+    left, since, t, total = dict(blocks), dict.fromkeys(weights, 0), 0, sum(map(Fraction, weights.values()))
+    for _, n in order:
+        left[n] -= 1
+        since[n] += 1
+        t += 1
+        for m in (weights if t % 13 == 0 else (n,)):
+            assert m not in since or abs(since[m] - t * Fraction(weights[m]) / total) < 1
+        if not left[n]:
+            since = {m: 0 for m in left if left[m]}
+            t, total = 0, sum(Fraction(weights[m]) for m in since)
+
+
+def test_many_sources_take_little_memory():
+    weights = {f"d{i}": (i + 1) ** 0.5 for i in range(10_000)}
+    found = mixing.dealt(dict.fromkeys(weights, 10**9), weights)
+    tracemalloc.start()
+    next(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
 
 
 def docs(spark, n=400):
@@ -113,15 +117,19 @@ def test_bins_equal_a_plain_best_fit():
 def test_packed_rows(spark, tmp_path):
     frame = docs(spark)
     frame.repartition(3).write.parquet(f"{tmp_path}/d")
-    for source in (frame, spark.read.parquet(f"{tmp_path}/d")):
-        rows = packing.packed(source, PATH, capacity=1000, per_source=2).collect()
+    spark.createDataFrame(frame.rdd.map(lambda r: (*r, r.doc_id % 300)), "doc_id long, text string, source string, cluster long").write.parquet(f"{tmp_path}/c")
+    files = spark.read.parquet(f"{tmp_path}/d")
+    assert packing.packed(frame, PATH, 1000, 2).count() == packing.packed(files, PATH, 1000, 2).count()
+    for source, how in ((frame, {}), (frame, {"in_order": True}), (files, {}), (files, {"in_order": True}), (spark.read.parquet(f"{tmp_path}/c"), {"cluster": "cluster"})):
+        rows = packing.packed(source, PATH, capacity=1000, per_source=2, **how).collect()
         by_bin: dict = {}
         for r in rows:
             by_bin.setdefault(r.bin_id, []).append(r)
         for members in by_bin.values():
             assert sum(r.n_tokens for r in members) <= 1000
             assert max(Counter(r.source for r in members).values()) <= 2
-            assert sum(r.doc_id >= 400 for r in members) <= 1  # copies keep apart
+            assert how.get("cluster") or sum(r.doc_id >= 400 for r in members) <= 1  # copies keep apart
+            assert not how.get("cluster") or max(Counter(r.doc_id % 300 for r in members if r.piece == 0).values(), default=1) == 1
         assert {r.doc_id for r in rows} == set(range(430))
 
 
