@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return packing.packed(docs, public_tokenizers.path(VOCABULARY))
+    return packing.packed(docs, public_tokenizers.path(VOCABULARY), in_order=True)
 
 
 STAGES = [
