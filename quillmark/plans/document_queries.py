@@ -307,10 +307,10 @@ SQL = {
     "shared_keys": """WITH e AS (SELECT p_partkey AS key, p_type AS type, unnest([p_name || '/' || p_brand, p_name || '/' || p_size]) AS k FROM part), f AS (SELECT type, k, min(key) AS a FROM e GROUP BY ALL)
         SELECT DISTINCT a, key AS b FROM e JOIN f USING (type, k) WHERE key <> a""",
     "declared_aliases": "WITH a AS (SELECT 'AB' || (s_suppkey % 60) AS alias, s_suppkey AS key FROM supplier) SELECT alias, key FROM a QUALIFY count(*) OVER (PARTITION BY alias) = 1",
-    "dissolved_names": "SELECT 'c' || c_custkey AS combined, unnest(list_distinct([c_custkey::varchar, (c_custkey * 2)::varchar])) AS part FROM customer WHERE c_custkey * 2 < 60 AND c_custkey > 0",
+    "dissolved_names": "SELECT 'c' || c_custkey AS combined, unnest(list_distinct([c_custkey::varchar, (c_custkey * 2)::varchar])) AS part FROM customer WHERE c_custkey > 0 AND c_custkey * 2 IN (SELECT c_custkey FROM customer)",
     "grounded_records": "SELECT name, count(*) AS n FROM documents, (VALUES ('license'), ('idiot'), ('The')) v(name) WHERE contains(lower(text), lower(name)) GROUP BY name",
     "record_parsing": "SELECT p_partkey, unnest(['entity|' || p_name || '|' || p_type, 'relation|' || p_name || '|x|made of']) AS record FROM part",
-    "name_conflicts": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'input' ELSE 'output' END AS s FROM part WHERE p_partkey < 200), q AS (SELECT a.s <> b.s AS conflict FROM p a JOIN p b ON b.k - a.k IN (1, 2))
+    "name_conflicts": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'input' ELSE 'output' END AS s FROM part), q AS (SELECT a.s <> b.s AS conflict FROM p a JOIN p b ON b.k - a.k IN (1, 2))
         SELECT conflict, true AS contained, count(*) AS n FROM q GROUP BY conflict""",
     "corrections": "SELECT p_partkey AS key, CASE WHEN p_name = 'small ring' THEN 'Ring, small' ELSE p_name END AS title, CASE WHEN p_name = 'red widget' THEN 'WIDGET' ELSE p_type END AS type FROM part WHERE p_name <> 'blue bolt'",
     "governance": "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'valid' ELSE 'ambiguous' END AS state, count(*) AS n FROM customer LEFT JOIN n ON o_custkey = c_custkey GROUP BY 1",
@@ -325,12 +325,12 @@ SQL = {
         c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest, sum(n)::bigint AS events FROM c GROUP BY user_id""",
     "subject_pages": f"""WITH {FACTS}, s AS (SELECT subject, 3 * count(*) + 2 * count(DISTINCT doc_id) AS score FROM facts GROUP BY 1 HAVING count(*) >= 3 ORDER BY score DESC, subject LIMIT 80)
         SELECT subject, score, 1 + count(DISTINCT (axis, value_num)) AS lines FROM facts JOIN s USING (subject) GROUP BY ALL""",
-    "graph_readback": f"""WITH {CHUNKS}, p AS (SELECT doc_id % 10 AS question_id, doc_id, chunk_index, text, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id % 7 + chunk_index DESC, chunk_index) AS turn FROM chunks WHERE chunk_index < 4 AND doc_id < 400),
+    "graph_readback": f"""WITH {CHUNKS}, p AS (SELECT doc_id % 10 AS question_id, doc_id, chunk_index, text, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id % 7 + chunk_index DESC, chunk_index) AS turn FROM chunks),
         r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY turn, doc_id, chunk_index) AS place FROM p QUALIFY place <= 24), t AS (SELECT *, {APPROX.format("text")} AS tokens FROM r),
         u AS (SELECT *, sum(tokens) OVER (PARTITION BY question_id ORDER BY place) AS used FROM t) SELECT question_id, doc_id, chunk_index, place, tokens FROM u WHERE used <= 2400""",
     "concept_norms": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'vcc' WHEN 1 THEN 't:' || lower(p_name) ELSE lower(p_name) END AS concept FROM part",
     "period_contexts": f"WITH {CHUNKS} SELECT doc_id, chunk_index, CASE WHEN chunk_index >= 3 THEN 'Q2 2024' WHEN chunk_index >= 1 THEN 'FY2023' ELSE '' END AS period FROM chunks",
-    "code_relations": """WITH d AS (SELECT doc_id, (doc_id + 1) % 300 AS n FROM documents WHERE doc_id < 300), k AS (SELECT doc_id, n, n IN (SELECT doc_id FROM d) AS known FROM d),
+    "code_relations": """WITH d AS (SELECT doc_id, doc_id + 1 AS n FROM documents), k AS (SELECT doc_id, n, n IN (SELECT doc_id FROM d) AS known FROM d),
         i AS (SELECT 'src/pkg/m' || doc_id || '.py' AS path, n, known, unnest(['os', 'pkg.m' || n]) AS name FROM k)
         SELECT path, name, CASE WHEN name <> 'os' AND known THEN 'internal' ELSE 'external' END AS state, CASE WHEN name <> 'os' AND known THEN 'src/pkg/m' || n || '.py' END AS target, CASE WHEN known THEN 'src/pkg/m' || n || '.py' END AS callee FROM i""",
     "stream_dedupe": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",

@@ -336,7 +336,7 @@ SQL = {
     "document_status": f"""SELECT doc_id, CASE WHEN {PATH} LIKE 'src1/%' THEN 'superseded' WHEN lang = 'de' THEN 'archived' ELSE 'current' END AS status FROM documents""",
     "overlapping_states": """SELECT a.o_custkey, count(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderdate::date <= b.o_orderdate::date + 20 AND b.o_orderdate::date <= a.o_orderdate::date + 20 GROUP BY 1""",
     "degree_stats": f"WITH {EDGES}, {BOTH} SELECT source AS key, count(DISTINCT target) AS degree FROM both_ways GROUP BY source",
-    "npmi_weights": f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE target IN ('s1', 's2', 's3')), m AS (SELECT DISTINCT * FROM (SELECT 'p' || l_partkey AS key, l_orderkey AS unit FROM lineitem UNION ALL SELECT 's' || l_suppkey, l_orderkey FROM lineitem)),
+    "npmi_weights": f"""WITH {EDGES}, e AS (SELECT * FROM edges), m AS (SELECT DISTINCT * FROM (SELECT 'p' || l_partkey AS key, l_orderkey AS unit FROM lineitem UNION ALL SELECT 's' || l_suppkey, l_orderkey FROM lineitem)),
         p AS (SELECT key, count(*) AS p FROM m GROUP BY key), c AS (SELECT e.source, e.target, count(*) AS c FROM e JOIN m a ON a.key = e.source JOIN m b ON b.key = e.target AND a.unit = b.unit GROUP BY ALL), t AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem),
         x AS (SELECT e.source, e.target, e.weight, coalesce(c, 0) AS cooccur, CASE WHEN c IS NULL THEN 0.0 WHEN c / n >= 1 THEN 1.0 ELSE round(ln((c / n) * n * n / (a.p * b.p)) / -ln(c / n), 6) END AS npmi
           FROM e LEFT JOIN c USING (source, target) JOIN p a ON a.key = e.source JOIN p b ON b.key = e.target, t)
@@ -361,9 +361,10 @@ SQL = {
         h AS (SELECT l_suppkey AS p, count(*) AS hub FROM lineitem GROUP BY 1) SELECT h.p AS point_id, round((SELECT sum(w) FROM e WHERE e.p = h.p) + 0.5 * (SELECT sum(w) FROM t WHERE t.p = h.p) / (1 + ln(1 + hub / (SELECT avg(hub) FROM h))), 6) AS score FROM h""",
     "name_keys": """SELECT c_custkey, '"' || lower(c_name) || ' x-1 ' || c_custkey AS key, true AS ok, lower(replace(c_name, '#', '')) AS canonical, true AS identifier FROM customer""",
     "similar_names": """WITH e AS (SELECT p_partkey AS key, p_type AS type, p_name || ' ' || (p_partkey % 40) AS title, row_number() OVER (PARTITION BY p_type ORDER BY p_name || ' ' || (p_partkey % 40), p_partkey) AS at FROM part),
-        g AS (SELECT *, list_transform(range(1, length(title)), lambda i: substr(title, i::int, 2)) AS r FROM e), m AS (SELECT *, list_transform(range(1, len(r) + 1), lambda i: r[i] || len(list_filter(list_slice(r, 1, i), lambda x: x = r[i]))) AS g FROM g),
-        p AS (SELECT a.key AS a, b.key AS b, a.title AS ta, b.title AS tb, round(2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM m a JOIN m b ON a.type = b.type AND b.at - a.at BETWEEN 1 AND 10 WHERE a.title <> b.title)
-        SELECT a, b, dice, levenshtein(ta, tb)::bigint AS edits FROM p WHERE dice >= 0.7 AND levenshtein(ta, tb) <= 2""",
+        g AS (SELECT *, list_transform(range(1, length(title)), lambda i: substr(title, i::int, 2)) AS r FROM e), m AS (SELECT *, list_sort(list_distinct(list_filter(r, lambda x: regexp_matches(x, '[0-9]')))) AS digits,
+          list_transform(range(1, len(r) + 1), lambda i: r[i] || len(list_filter(list_slice(r, 1, i), lambda x: x = r[i]))) AS g FROM g),
+        p AS (SELECT a.key AS a, b.key AS b, a.title AS ta, b.title AS tb, a.g AS ga, b.g AS gb, levenshtein(a.title, b.title)::bigint AS edits FROM m a JOIN m b ON a.type = b.type AND b.at - a.at BETWEEN 1 AND 40 AND (a.title = b.title OR a.digits = b.digits))
+        SELECT a, b, round(2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)), 6) AS dice, edits FROM p WHERE ta = tb OR edits <= least(length(ta), length(tb)) // 2""",
     "external_id_link": """WITH i AS (SELECT s_suppkey AS key, 'id' || (s_suppkey % 70) AS x FROM supplier QUALIFY count(*) OVER (PARTITION BY 'id' || (s_suppkey % 70)) = 1) SELECT event_id, key FROM events JOIN i ON i.x = 'id' || user_id""",
     "entity_listing": f"""WITH {EDGES}, {BOTH}, {NODES}, g AS (SELECT source AS key, count(DISTINCT target) AS degree FROM both_ways GROUP BY source)
         SELECT key, title, type, degree FROM nodes JOIN g USING (key) WHERE type IN ('ECONOMY', 'SMALL') ORDER BY degree DESC, key LIMIT 40""",

@@ -20,6 +20,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions.text import suffix
 
@@ -363,3 +364,69 @@ def merged_header(above: Column, row: Column) -> Column:
 def glued_cell(cell: Column) -> Column:
     """Several values in one cell: a number glued to another by white space, or several assignments."""
     return cell.rlike(r"^\s*\d+(\.\d+)?\s+\d+(\.\d+)?\s*$") | (F.size(F.regexp_extract_all(cell, F.lit(r"(\w+\s*=)"), 1)) >= 2)
+
+
+def jsonl_records(files: DataFrame) -> DataFrame:
+    """(doc_id, line, title, valid) of each non-blank line of ``files(doc_id, text)``; a title names the record by its
+    id, _id, name or title, whichever comes first. Lines that are no JSON are marked, not dropped."""
+    lines = files.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_i", "line_text")).where(F.trim("line_text") != "")
+    name = F.coalesce(*(F.get_json_object("line_text", f"$.{k}") for k in ("id", "_id", "name", "title")))
+    number = (F.col("_i") + 1).cast("long")
+    title = F.concat(F.lit("Record "), number.cast("string"), F.coalesce(F.concat(F.lit(": "), F.substring(name, 1, 160)), F.lit("")))
+    return lines.select("doc_id", number.alias("line"), title.alias("title"), F.try_parse_json("line_text").isNotNull().alias("valid"))
+
+
+def _whole_objects(text: str | None) -> list[str]:
+    found, read = [], json.JSONDecoder().raw_decode
+    start = re.search(r"\[\s*(?=\{)", text or "")
+    at = start.end() if start else (text or "").find("{")
+    while start is not None or not found:
+        if not text or at < 0 or at >= len(text) or text[at] != "{":
+            break
+        try:
+            value, at = read(text, at)
+        except ValueError:
+            break
+        found.append(json.dumps(value, ensure_ascii=False))
+        at = re.compile(r"[\s,]*").match(text, at).end()
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lenient_objects(replies: pd.Series) -> pd.Series:
+    """The whole objects of the first list (or the first object) in a reply, as JSON; what is cut off or malformed ends it."""
+    return pd.Series([_whole_objects(t) for t in replies], index=replies.index, dtype=object)
+
+
+def packed_rows(rows: DataFrame, header: str, budget: int) -> DataFrame:
+    """(sheet, first, last, tokens, text): rows (sheet, row_no, row) in order to blocks of at most ``budget`` tokens, each
+    with its sheet's name, its rows and the header; a row that is longer is a block of its own. Rows stream through
+    sorted partitions, so a sheet of any length is never held."""
+    from quillmark.operators.chunking import approx_tokens
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sheet, lines, first, last, base, used, out = None, [], 0, 0, 0, 0, []
+
+        def close() -> None:
+            if lines:
+                out.append((sheet, first, last, used, f"SHEET: {sheet}\nROWS: {first}-{last}\nHEADER: {header}\n" + "\n".join(lines)))
+
+        for f in frames:
+            for s, n, row in zip(f["sheet"], f["row_no"], f["row"], strict=True):
+                cost = approx_tokens(row)
+                if s != sheet or used + cost > budget:
+                    close()
+                    if s != sheet:
+                        sheet, base = s, approx_tokens(f"SHEET: {s}\nHEADER: {header}")
+                    lines, first, used = [], n, base
+                lines.append(row)
+                last, used = n, used + cost
+            if out:
+                yield pd.DataFrame(out, columns=["sheet", "first", "last", "tokens", "text"])
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["sheet", "first", "last", "tokens", "text"])
+
+    dealt = rows.select("sheet", F.col("row_no").cast("long").alias("row_no"), "row").repartition("sheet").sortWithinPartitions("sheet", "row_no")
+    return dealt.mapInPandas(run, "sheet string, first long, last long, tokens long, text string")
