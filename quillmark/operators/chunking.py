@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -15,9 +16,13 @@ HEADING = re.compile(r"\s*(?:(?:Chapter|Part|Appendix)\s+[0-9IVXA-Z]+\b|\d+(?:\.
 CHUNKS = "doc_id long, chunk_index long, kind string, text string, tokens long, chunk_uid string"
 
 
+WIDE = re.compile("[一-鿿]+")
+
+
 def approx_tokens(text: str) -> int:
-    cjk = len(re.findall("[一-鿿]", text))
-    return cjk + max(1, (len(text) - cjk) // 4)
+    """A token for each CJK character, and for each four others, but one at least for the others."""
+    narrow = len(text) if text.isascii() else len(WIDE.sub("", text))
+    return len(text) - narrow + (narrow // 4 or 1)
 
 
 def segments(text: str) -> list[tuple[str, str]]:
@@ -52,12 +57,13 @@ def cut_long(sentence: str, most: int) -> list[str]:
     """Longest prefixes within the budget, one after another; their concatenation is the sentence."""
     out = []
     while sentence:
-        low, high = 1, len(sentence)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if approx_tokens(sentence[:mid]) <= most else (low, mid - 1)
-        out.append(sentence[:low])
-        sentence = sentence[low:]
+        # Four characters cost a token at least, so no prefix within the budget is longer than this.
+        reach = sentence[: 4 * most + 4]
+        wide = np.cumsum(np.fromiter(("一" <= c <= "鿿" for c in reach), np.int64, len(reach)))
+        cost = wide + np.maximum(1, (np.arange(1, len(reach) + 1) - wide) // 4)
+        cut = max(1, int(np.searchsorted(cost, most, "right")))
+        out.append(sentence[:cut])
+        sentence = sentence[cut:]
     return out
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.resolution import ANTONYMS
+from quillmark.operators.resolution import POLARITY
 
 # Fixed words of measures that a concept's name does not need, and words that set measures apart.
 MEASURE_WORDS = ("value", "rate", "level", "amount", "number", "reading")
@@ -27,7 +27,7 @@ def norm(prop: Column, symbol: Column) -> Column:
 def compatible(a: str, b: str) -> str:
     """ok, or why two names are not one concept: polarity, contrast or measure (different numbers or units)."""
     x, y = set(re.findall(r"\w+", a.lower())), set(re.findall(r"\w+", b.lower()))
-    if any((p in x and q in y) or (q in x and p in y) for p, q in ANTONYMS):
+    if any((p in x and q in y) or (q in x and p in y) for p, q in POLARITY):
         return "polarity"
     if (x ^ y) & set(CONTRASTS):
         return "contrast"

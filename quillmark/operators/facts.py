@@ -35,19 +35,38 @@ def trends(facts: DataFrame) -> DataFrame:
 
 
 def conflicts(facts: DataFrame) -> DataFrame:
-    """(fact_id, conflict_group): components of facts of one group and axis that differ between documents. Facts
-    with equal document and value are alike, so they meet once: the pairs are among distinct (document, value)."""
+    """(fact_id, conflict_group): components of facts of one group and axis that differ between documents.
+
+    Facts with equal document and value are alike. No pairs are formed: a fact that differs from any of another document
+    also differs from the least or the greatest value there is, or, where that is in its own document, from the least or
+    greatest value outside it. So each fact meets four others, those two and the least and greatest of all documents but
+    theirs, and the links that come of it have the components of all links."""
     keys = [*GROUP, "axis"]
     nodes = facts.groupBy(*keys, "doc_id", "value_num").agg(F.min("fact_id").alias("node"))
-    a = nodes.select(*keys, F.col("doc_id").alias("d1"), F.col("value_num").alias("v1"), F.col("node").alias("u"))
-    b = nodes.select(*keys, F.col("doc_id").alias("d2"), F.col("value_num").alias("v2"), F.col("node").alias("v"))
-    edges = a.join(b, keys).where((F.col("u") < F.col("v")) & (F.col("d1") != F.col("d2")) & ~equal_numbers(F.col("v1"), F.col("v2"))).select("u", "v")
-    found = components(edges)
+    ends = nodes.groupBy(*keys, "doc_id").agg(F.min(F.struct("value_num", "node")).alias("low"), F.max(F.struct("value_num", "node")).alias("high"))
+    w = Window.partitionBy(*keys)
+    ends = ends.withColumn("_low", F.row_number().over(w.orderBy("low"))).withColumn("_high", F.row_number().over(w.orderBy(F.desc("high"))))
+    of = lambda name: ends.where(F.col(f"_{name}") <= 2).select(*keys, F.col("doc_id").alias("d2"), F.col(f"{name}.value_num").alias("v2"), F.col(f"{name}.node").alias("v"))
+    witnesses = of("low").unionByName(of("high"))
+    rows = nodes.join(witnesses, keys).where((F.col("doc_id") != F.col("d2")) & ~equal_numbers(F.col("value_num"), F.col("v2")))
+    found = components(rows.select(F.col("node").alias("u"), "v"))
     members = found.unionByName(found.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("node"), F.col("v").alias("conflict_group"))
     rows = facts.join(nodes, [*keys, "doc_id", "value_num"]).join(members, "node")
     return rows.select("fact_id", "conflict_group")
 
 
+def overlapping(states: DataFrame, key: str, by: list[str], start: str, end: str, width: int) -> DataFrame:
+    """(by, a, b) of states that share a day, a < b. Each is in the stretches of ``width`` days that it touches, and a
+    pair is taken in the stretch in which it begins, so states meet only near in time."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    stretch = lambda c: F.floor(day(c) / width).cast("int")
+    rows = states.where(F.col(start) <= F.col(end)).withColumn("_s", F.explode(F.sequence(stretch(start), stretch(end))))
+    a = rows.select(*by, "_s", F.col(key).alias("a"), F.col(start).alias("af"), F.col(end).alias("au"))
+    b = rows.select(*by, "_s", F.col(key).alias("b"), F.col(start).alias("bf"), F.col(end).alias("bu"))
+    both = a.join(b, [*by, "_s"]).where("a < b and af <= bu and bf <= au")
+    return both.where(F.col("_s") == F.floor(F.greatest(day("af"), day("bf")) / width)).select(*by, "a", "b")
+
+
 def distinct_facts(facts: DataFrame) -> DataFrame:
     """Facts of equal content collapse: the first id, how many, and the documents in order."""
     keys = [*GROUP, "axis", "value_num"]

@@ -4,39 +4,75 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that may be broadcast by a counted join, and the bytes they may take (rows times the stated width).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/quillmark-scratch"
-    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, spark.checkpoint.dir. Only a local session may do without it."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(where or f'file://{tempfile.gettempdir()}/quillmark-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage by a written table."""
+    """Cut the lineage by a written table; survives the loss of executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, width: int) -> DataFrame:
+    """Join on equal keys. ``small`` is counted and broadcast only if its rows times ``width`` bytes are within the
+    bound; otherwise the join shuffles and skewed keys are split at run time."""
+    n = small.count()
+    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else small, on, how)
+
+
+def _stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the edges of each batch by a star to the smallest member of each of its components."""
+    for b in rows:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y] = up.setdefault(y, y)
+                x = up[x]
+            return x
+
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(u), root(v)))
+            up[high] = low
+        found = [(x, root(x)) for x in up if root(x) != x]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], b.schema.field(0).type), pa.array([r for _, r in found], b.schema.field(1).type)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) with v the smallest node reachable from u, for nodes that are not the smallest themselves. Large-star
-    and small-star steps alternate until all edges point to the smallest; each step is a written table."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    and small-star steps alternate until all edges point to the smallest; each step is a written table, and each
+    batch of edges is thinned to stars before it is shuffled. Loops, repeated edges and null ends don't count."""
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = settle(e, "edges")
+    kind = e.schema["u"].dataType.simpleString()
     while True:
-        heads = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        if heads.isEmpty() and e.select("v").intersect(e.select("u")).isEmpty():
+        stars = e.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("k")).unionByName(e.groupBy("v").agg(F.lit(0).alias("n"), F.lit(1).alias("k")).withColumnRenamed("v", "u"))
+        if stars.groupBy("u").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 1 or (n > 0 and k > 0)").isEmpty():
             return e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).mapInArrow(_stars, f"u {kind}, v {kind}").distinct(), "edges")
 
 
 def symmetric(edges: DataFrame, *keep: str) -> DataFrame:
@@ -54,18 +90,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 60, damping:
     ranks are normalised in each step. Lineage is cut every few steps by a written table."""
     links = symmetric(edges.where("weight > 0"), "weight").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     out = links.groupBy("source").agg(F.sum("weight").alias("total"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = settle(links.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")), "shares")
     nodes = settle(nodes.select("key").join(out.select(F.col("source").alias("key"), F.lit(True).alias("linked")), "key", "left"), "nodes")
+    # Dealt by key once and kept, so that a step shuffles no edges, only what the edges carry, added up before.
+    links, nodes = links.repartition(parts, "source").persist(), nodes.repartition(parts, "key").persist()
     n = nodes.count()
     if not n:
         return nodes.select("key", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("key", "linked", F.lit(1.0 / n).alias("rank"))
+    # Nodes without links all have one rank, which no edge changes, so their mass is a number.
+    alone, rank = nodes.where("linked is null").count(), 1.0 / n
+    ranks = nodes.select("key", F.lit(1.0 / n).alias("rank"))
     for i in range(iterations):
         pushed = links.join(ranks.select(F.col("key").alias("source"), "rank"), "source").groupBy(F.col("target").alias("key")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        nxt = nodes.join(pushed, "key", "left").crossJoin(F.broadcast(loose))
-        ranks = nxt.select("key", "linked", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("loose") / n).alias("rank"))
-        if i % every == every - 1:
+        rank = (1 - damping) / n + damping * alone * rank / n
+        ranks = nodes.join(pushed, "key", "left").select("key", (F.lit(rank) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if i % every == every - 1 or i == iterations - 1:
             ranks = settle(ranks, "ranks")
     total = ranks.agg(F.sum("rank").alias("total"))
     return ranks.crossJoin(F.broadcast(total)).select("key", (F.col("rank") / F.col("total")).alias("rank"))
@@ -93,7 +133,7 @@ def edge_weight(strength: Column, most_strength: Column, cooccur: Column, most_c
 
 def one_hop(edges: DataFrame, seeds: DataFrame, limit: int = 100) -> DataFrame:
     """The strongest neighbours of each seed key, in either direction, numbered by weight and key."""
-    rows = symmetric(edges, "weight").join(F.broadcast(seeds.select(F.col("key").alias("source"))), "source")
+    rows = small_join(symmetric(edges, "weight"), seeds.select(F.col("key").alias("source")), ["source"], "inner", 64)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "target")).cast("long")).where(F.col("place") <= limit)
 
 

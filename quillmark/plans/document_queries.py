@@ -333,5 +333,7 @@ SQL = {
     "code_relations": """WITH d AS (SELECT doc_id, doc_id + 1 AS n FROM documents), k AS (SELECT doc_id, n, n IN (SELECT doc_id FROM d) AS known FROM d),
         i AS (SELECT 'src/pkg/m' || doc_id || '.py' AS path, n, known, unnest(['os', 'pkg.m' || n]) AS name FROM k)
         SELECT path, name, CASE WHEN name <> 'os' AND known THEN 'internal' ELSE 'external' END AS state, CASE WHEN name <> 'os' AND known THEN 'src/pkg/m' || n || '.py' END AS target, CASE WHEN known THEN 'src/pkg/m' || n || '.py' END AS callee FROM i""",
+    "stream_job_state": """WITH e AS (SELECT 'job' || user_id AS job, event_type, ts, event_id FROM events), s AS (SELECT job, count_if(event_type = 'error')::bigint AS errors, count(*) AS events, max_by(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'purchase')) AS last FROM e GROUP BY job)
+        SELECT job, CASE WHEN errors >= 5 THEN 'dead' WHEN last = 'purchase' THEN 'running' ELSE 'queued' END AS state, least(errors, 5)::bigint AS attempts, events FROM s""",
     "stream_dedupe": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",
 }

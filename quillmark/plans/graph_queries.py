@@ -9,6 +9,7 @@ from quillmark.functions import facts as V
 from quillmark.functions import text as T
 from quillmark.operators import facts as FA
 from quillmark.operators import graph as G
+from quillmark.operators import recall
 from quillmark.operators import resolution as R
 from quillmark.plans.ingest_queries import CHUNKS, PATH
 from quillmark.plans.search_queries import KEYWORD, keyword, points
@@ -115,9 +116,9 @@ def document_status(spark, d):
 
 
 def overlapping_states(spark, d):
-    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("f"), F.date_format(F.date_add("o_orderdate", 20), "yyyy-MM-dd").alias("u"))
-    a, b = rows.toDF("a", "o_custkey", "af", "au"), rows.toDF("b", "o_custkey", "bf", "bu")
-    return a.join(b, "o_custkey").where((F.col("a") < F.col("b")) & V.overlap(F.col("af"), F.col("au"), F.col("bf"), F.col("bu"))).groupBy("o_custkey").agg(F.count("*").alias("pairs"))
+    """Pairs of a customer's orders whose twenty days overlap; stretches of 21 days are the keys."""
+    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("f"), F.date_add(F.to_date("o_orderdate"), 20).alias("u"))
+    return FA.overlapping(rows, "o_orderkey", ["o_custkey"], "f", "u", 21).groupBy("o_custkey").agg(F.count("*").alias("pairs"))
 
 
 def degree_stats(spark, d):
@@ -144,11 +145,10 @@ def pagerank_3(spark, d):
 
 
 def connected_components(spark, d):
-    """Documents that share a first line, and customers' orders of one day, as a graph of documents."""
-    first = load(spark, d, "documents").select("doc_id", F.sha2(F.get(F.split("text", "\n"), F.lit(0)), 256).alias("h"), (F.col("doc_id") / 10).cast("long").alias("ten"))
-    star = lambda key: first.join(first.groupBy(key).agg(F.min("doc_id").alias("v")), key).select(F.col("doc_id").alias("u"), "v")
-    links = star("h").unionByName(first.where("doc_id % 10 < 3").groupBy("ten").agg(F.max("doc_id").alias("u"), F.min("doc_id").alias("v")).select("u", "v"))
-    found = G.components(links)
+    """Documents of equal first lines, or of one source and equal first letters, as a graph."""
+    first = load(spark, d, "documents").select("doc_id", F.sha2(F.get(F.split("text", "\n"), F.lit(0)), 256).alias("h"), "source", F.crc32(F.substring("text", 1, 3).cast("binary")).alias("head"))
+    star = lambda *key: first.join(first.groupBy(*key).agg(F.min("doc_id").alias("v")), list(key)).select(F.col("doc_id").alias("u"), "v")
+    found = G.components(star("h").unionByName(star("source", "head")))
     return first.select("doc_id").join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("v", "doc_id").alias("component"))
 
 
@@ -187,10 +187,13 @@ def variant_edges(spark, d):
 
 
 def mention_counts(spark, d):
-    """Word-bounded mentions of part names in the chunks of their documents."""
-    name = spark.createDataFrame([(w,) for w in ("the", "ing", "and", "er")], "name string")
-    rows = chunks(spark, d).crossJoin(F.broadcast(name)).withColumn("n", F.size(F.filter(T.tokens("text"), lambda t: t == F.col("name"))).cast("long"))
-    return rows.where("n > 0").groupBy("name", "doc_id").agg(F.sum("n").alias("mentions"), F.count("*").alias("chunks"))
+    """Word-bounded mentions of each document's entity, its first word, in the chunks of the document: names and tokens
+    meet in an equi-join."""
+    own = chunks(spark, d)
+    names = own.where("chunk_index = 0").select("doc_id", F.get(T.tokens("text"), F.lit(0)).alias("name")).where("length(name) >= 2")
+    tokens = own.select("doc_id", "chunk_index", F.explode(T.tokens("text")).alias("name"))
+    hits = tokens.join(names, ["doc_id", "name"]).groupBy("name", "doc_id", "chunk_index").agg(F.count("*").alias("n"))
+    return hits.groupBy("name", "doc_id").agg(F.sum("n").alias("mentions"), F.count("*").alias("chunks"))
 
 
 def majority_type(spark, d):
@@ -274,7 +277,7 @@ def docs_listing(spark, d):
 
 def eval_mrr(spark, d):
     """Rank of the first keyword hit in a document that holds the passage; reciprocal rank and hits at 3, 5, 12."""
-    gold = load(spark, d, "documents").select("doc_id", "text").join(F.broadcast(load(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.expr("contains(text, passage)")).select("item_id", "doc_id")
+    gold = recall.holding(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))).select("item_id", "doc_id")
     hits = keyword(spark, d).join(points(spark, d).select("point_id", "doc_id"), "point_id").select(F.col("question_id").alias("item_id"), "doc_id", "rank")
     items = gold.select("item_id").distinct()
     best = hits.join(gold, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("rank"))
@@ -344,8 +347,8 @@ SQL = {
     "pagerank_3": f"""WITH {EDGES}, {BOTH}, {NODES}, o AS (SELECT source, sum(weight) AS total FROM both_ways GROUP BY source), shares AS (SELECT b.source, b.target, sum(b.weight) / any_value(o.total) AS share FROM both_ways b JOIN o ON o.source = b.source GROUP BY ALL),
         n AS (SELECT key, (SELECT true FROM o WHERE o.source = nodes.key) AS linked FROM nodes), r0 AS (SELECT key, linked, 1.0::double / (SELECT count(*) FROM n) AS rank FROM n), {", ".join(STEP.format(k=k, j=k - 1) for k in (1, 2, 3))}
         SELECT key, round(rank / (SELECT sum(rank) FROM r3), 9) AS rank FROM r3""",
-    "connected_components": """WITH RECURSIVE f AS (SELECT doc_id, string_split(text, chr(10))[1] AS h, doc_id // 10 AS ten FROM documents), e0 AS (SELECT doc_id AS u, min(doc_id) OVER (PARTITION BY h) AS v FROM f
-        UNION ALL SELECT max(doc_id), min(doc_id) FROM f WHERE doc_id % 10 < 3 GROUP BY ten), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+    "connected_components": """WITH RECURSIVE f AS (SELECT doc_id, string_split(text, chr(10))[1] AS h, source, substr(text, 1, 3) AS head FROM documents), e0 AS (SELECT doc_id AS u, min(doc_id) OVER (PARTITION BY h) AS v FROM f
+        UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY source, head) FROM f), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
         reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u) SELECT u AS doc_id, min(v) AS component FROM reach GROUP BY u""",
     "one_hop": f"WITH {EDGES}, {BOTH} SELECT source, target, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS place FROM both_ways WHERE source IN ('s1', 's7', 'p10') QUALIFY place <= 20",
     "n_hop": f"""WITH {EDGES}, {BOTH}, degree AS (SELECT source AS key, count(DISTINCT target) AS degree FROM both_ways GROUP BY source), front0 AS (SELECT * FROM (VALUES ('p10', 1.0::double), ('p11', 0.8::double)) v(key, score)),
@@ -354,8 +357,8 @@ SQL = {
         c(name, ancestor, distance) AS (SELECT name, parent, 1 FROM t UNION SELECT c.name, t.parent, c.distance + 1 FROM c JOIN t ON c.ancestor = t.name) SELECT name, ancestor, min(distance)::bigint AS distance FROM c GROUP BY ALL""",
     "endpoint_check": f"WITH {EDGES}, {NODES} SELECT type, type IN ('ECONOMY', 'SMALL') AS ok, count(*) AS edges FROM edges JOIN nodes ON nodes.key = edges.source GROUP BY ALL",
     "variant_edges": "SELECT doc_id AS variant, doc_id // 4 * 4 AS base FROM documents WHERE doc_id % 4 IN (1, 2)",
-    "mention_counts": rf"""WITH {CHUNKS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t FROM chunks), n AS (SELECT unnest(['the', 'ing', 'and', 'er']) AS name),
-        m AS (SELECT name, doc_id, len(list_filter(t, lambda x: x = name)) AS n FROM t, n) SELECT name, doc_id, sum(n)::bigint AS mentions, count(*) AS chunks FROM m WHERE n > 0 GROUP BY ALL""",
+    "mention_counts": rf"""WITH {CHUNKS}, t AS (SELECT doc_id, chunk_index, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t FROM chunks), n AS (SELECT doc_id, t[1] AS name FROM t WHERE chunk_index = 0 AND length(t[1]) >= 2),
+        m AS (SELECT name, doc_id, len(list_filter(t, lambda x: x = name)) AS n FROM t JOIN n USING (doc_id)) SELECT name, doc_id, sum(n)::bigint AS mentions, count(*) AS chunks FROM m WHERE n > 0 GROUP BY ALL""",
     "majority_type": "SELECT p_name, p_type, n AS votes FROM (SELECT p_name, p_type, count(*) AS n FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY n DESC, p_type DESC) = 1",
     "chunk_graph_score": """WITH e AS (SELECT l_suppkey AS p, l_discount AS w FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC) <= 5), t AS (SELECT l_suppkey AS p, l_tax AS w FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_tax DESC) <= 3),
         h AS (SELECT l_suppkey AS p, count(*) AS hub FROM lineitem GROUP BY 1) SELECT h.p AS point_id, round((SELECT sum(w) FROM e WHERE e.p = h.p) + 0.5 * (SELECT sum(w) FROM t WHERE t.p = h.p) / (1 + ln(1 + hub / (SELECT avg(hub) FROM h))), 6) AS score FROM h""",

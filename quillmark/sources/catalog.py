@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +24,18 @@ class Catalog:
     def _files(self, text: str):
         return self._path(text).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, table: str) -> list[str]:
+        folder = self._path(f"{self.root}/{table}/_pointers")
+        fs = self._files(f"{self.root}/{table}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
     def versions(self, table: str) -> list[str]:
-        """Activated versions, oldest first, by the names of their pointer files."""
-        folder = f"{self.root}/{table}/_pointers"
-        fs = self._files(folder)
-        if not fs.exists(self._path(folder)):
-            return []
-        return [s.getPath().getName().split("-", 1)[1] for s in sorted(fs.listStatus(self._path(folder)), key=lambda s: s.getPath().getName())]
+        """Activated versions, oldest first."""
+        return [x.split("-", 1)[1] for x in self._names(table) if "-" in x]
+
+    def turn(self, table: str) -> int:
+        """The next free turn: the number that the next activation must claim."""
+        return max((int(x.split("-", 1)[0]) + 1 for x in self._names(table)), default=0)
 
     def read(self, table: str, version: str | None = None) -> DataFrame:
         """The active version, or the pinned one."""
@@ -42,32 +48,40 @@ class Catalog:
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{version}")
         return version
 
-    def activate(self, table: str, version: str, expect_rows: int | None = None) -> None:
-        """Check the staged version, then create its pointer, one atomic step. Activating an old version again is a
-        rollback."""
+    def activate(self, table: str, version: str, expect_rows: int | None = None, turn: int | None = None) -> None:
+        """Check the staged version, claim a turn and then create its pointer, one atomic step for readers. A turn's
+        claim is a file that only one writer can create; a writer that fails after its claim leaves the turn empty.
+        With ``turn``, taken before the version was made, an activation in between makes this one fail. Activating an
+        old version again is a rollback."""
         staged = self.spark.read.parquet(f"{self.root}/{table}/{version}")
         if expect_rows is not None and (n := staged.count()) != expect_rows:
             raise ValueError(f"{table} {version}: {n} rows, {expect_rows} expected")
         folder = f"{self.root}/{table}/_pointers"
         fs = self._files(folder)
-        n = len(list(fs.listStatus(self._path(folder)))) if fs.exists(self._path(folder)) else 0
-        if not fs.createNewFile(self._path(f"{folder}/{n:09d}-{version}")):
-            raise ValueError("another writer has activated a version")
-
-    def write(self, df: DataFrame, table: str) -> str:
+        mine = self.turn(table) if turn is None else turn
+        try:
+            fs.create(self._path(f"{folder}/{mine:09d}"), False).close()
+        except Py4JJavaError as taken:
+            raise ValueError("another writer has activated a version") from taken
+        fs.create(self._path(f"{folder}/{mine:09d}-{version}"), False).close()
+
+    def write(self, df: DataFrame, table: str, turn: int | None = None) -> str:
         version = self.stage(df, table)
-        self.activate(table, version)
+        self.activate(table, version, turn=turn)
         return version
 
     def upsert(self, rows: DataFrame, table: str, key: list[str]) -> str:
-        """Rows replace those of equal key, others stay; a new version."""
+        """Rows replace those of equal key, others stay; a new version. Fails if another writer was faster, whose rows
+        would be lost."""
+        turn = self.turn(table)
         if not self.versions(table):
-            return self.write(rows, table)
-        return self.write(self.read(table).join(rows.select(*key), key, "left_anti").unionByName(rows), table)
+            return self.write(rows, table, turn)
+        return self.write(self.read(table).join(rows.select(*key), key, "left_anti").unionByName(rows), table, turn)
 
     def compact(self, table: str, files: int) -> str:
         """The active version in as many files."""
-        return self.write(self.read(table).repartition(files), table)
+        turn = self.turn(table)
+        return self.write(self.read(table).repartition(files), table, turn)
 
     def expire(self, table: str, keep: int = 3) -> list[str]:
         """Delete all but the newest versions; the active one always stays."""

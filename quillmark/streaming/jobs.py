@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-STATES = "job string, state string, attempts long, events long"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
@@ -40,33 +33,25 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
 
 def job_states(events: DataFrame) -> DataFrame:
     """Each job as a state machine: purchase starts it, error counts an attempt and returns it to the queue, other events
-    keep it alive, and it is dead after five attempts. State is a few numbers for each job."""
-
-    def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, attempts, n = state.get if state.exists else ("queued", 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        for kind in rows["event_type"]:
-            n += 1
-            if name == "dead":
-                continue
-            if kind == "error":
-                attempts += 1
-                name = "dead" if attempts >= 5 else "queued"
-            elif kind == "purchase":
-                name = "running"
-        state.update((name, attempts, n))
-        yield pd.DataFrame({"job": [key[0]], "state": [name], "attempts": [attempts], "events": [n]})
-
-    rows = events.withColumn("job", F.concat(F.lit("job"), "user_id")).select("job", "at", "event_id", "event_type")
-    return rows.groupBy("job").applyInPandasWithState(step, STATES, "state string, attempts long, events long", "update", GroupStateTimeout.NoTimeout)
+    keep it alive, and it is dead from five attempts on. Its state is an aggregate: the errors so far, and which of the
+    two kinds came last; so late events count where they belong."""
+    rows = events.select(F.concat(F.lit("job"), "user_id").alias("job"), "at", "event_id", "event_type")
+    decisive = F.when(F.col("event_type").isin("error", "purchase"), F.struct("at", "event_id", "event_type"))
+    sums = rows.groupBy("job").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.max(decisive).alias("last"), F.count("*").alias("events"))
+    state = F.when(F.col("errors") >= 5, "dead").when(F.col("last.event_type") == "purchase", "running").otherwise("queued")
+    return sums.select("job", state.alias("state"), F.least(F.col("errors"), F.lit(5)).cast("long").alias("attempts"), "events")
 
 
 def drain_to(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Process all that is there into a Parquet table below ``folder`` and read it: complete results replace the table
-    in each batch, others are added with their batch number, and the last batch of each counts for updates."""
+    """Process all that is there into Parquet below ``folder`` and read it with each row's ``_batch``. A batch writes
+    its own folder, so one that is replayed after a failure replaces itself. Of complete results the last batch is
+    read; of updates all are, and the last of each key counts."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/table")
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/table")
+    rows = stream.sparkSession.read.parquet(f"{folder}/table").withColumnRenamed("batch", "_batch")
+    if mode != "complete":
+        return rows
+    return rows.where(F.col("_batch") == rows.agg(F.max("_batch")).first()[0])
