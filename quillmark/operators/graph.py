@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,23 +39,51 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, width:
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES else small, on, how)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, to give their disk back."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        for f in {os.path.dirname(x) for x in t.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Forest:
+    """Union-find over the dense numbers 0..n-1; the smaller root wins."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        if a > b:
+            a, b = b, a
+        self.up[b] = a
+        return True
+
+
 def _stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the edges of each batch by a star to the smallest member of each of its components."""
     for b in rows:
-        up: dict = {}
-
-        def root(x):
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y] = up.setdefault(y, y)
-                x = up[x]
-            return x
-
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            low, high = sorted((root(u), root(v)))
-            up[high] = low
-        found = [(x, root(x)) for x in up if root(x) != x]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], b.schema.field(0).type), pa.array([r for _, r in found], b.schema.field(1).type)], names=["u", "v"])
+        u, v = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(u):
+            continue
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        f = Forest(len(ids))
+        for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+            f.join(x, y)
+        roots = np.fromiter((f.root(x) for x in range(len(ids))), np.int64, len(ids))
+        keep = np.flatnonzero(roots != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, b.schema.field(0).type) for x in (ids[keep], ids[roots[keep]])], names=["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,7 +102,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).mapInArrow(_stars, f"u {kind}, v {kind}").distinct(), "edges")
+        nxt = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).mapInArrow(_stars, f"u {kind}, v {kind}").distinct(), "edges")
+        discard(e)
+        e = nxt
 
 
 def symmetric(edges: DataFrame, *keep: str) -> DataFrame:
