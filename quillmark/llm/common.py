@@ -1,49 +1,15 @@
-"""What the operators of this subpackage share: scratch tables, inputs, size-checked joins, components."""
+"""What the operators of this subpackage share: inputs, samples, and the engine's scratch tables, joins and components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast by a counted join, and the bytes they may take (rows times the stated width).
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 16 << 20
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without, as in tests."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (where or f"file://{tempfile.gettempdir()}/quillmark-scratch").rstrip("/")
-
-
-def fresh(spark: SparkSession, label: str) -> str:
-    return f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-
+from quillmark.operators.graph import Forest, components, discard, settle, small_join
+from quillmark.operators.graph import scratch as fresh
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage by a table written to the shared folder; survives the loss of executors."""
-    path = fresh(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more, to give their disk back."""
-    for t in tables:
-        spark = t.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in {os.path.dirname(x) for x in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Forest", "bounded_batches", "components", "discard", "fresh", "held_out", "settle", "small_join", "table", "texts", "training_sample", "whole"]
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -81,80 +47,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return rows.join(F.broadcast(within), "doc_id")
 
 
-def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, width: int) -> DataFrame:
-    """Join on equal keys. ``small`` is settled first and broadcast only if its counted rows times
-    ``width`` bytes are within the bound; otherwise the join shuffles and skewed keys are split at run time."""
-    n = small.count()
-    if n <= BROADCAST_ROWS and n * width <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null reads as empty."""
     return [x or "" for x in column.to_pylist()]
-
-
-class Forest:
-    """Union-find over the dense numbers 0..n-1; the smaller root wins."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        if a > b:
-            a, b = b, a
-        self.up[b] = a
-        return True
-
-
-def _thin(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of each batch by a star to the smallest member of each of its components."""
-    for b in rows:
-        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(u):
-            continue
-        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        f = Forest(len(ids))
-        for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
-            f.join(x, y)
-        roots = np.fromiter((f.root(x) for x in range(len(ids))), np.int64, len(ids))
-        keep = np.flatnonzero(roots != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[roots[keep]])], names=["u", "v"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(u long, v long)``: rows (u, v) with v the smallest node reachable
-    from u, for every node that is not itself the smallest of its component.
-
-    Alternates large-star and small-star steps (each a partial aggregate and a join that splits skewed keys) until
-    the edges form stars; every step is a table in the shared folder. Nothing is gathered on the driver. Self-loops
-    and repeated edges are ignored; an empty input gives an empty output; null ends are dropped.
-    """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    # Not thinned here: edges may come straight from Python, and two Python steps in a task would be two workers.
-    e = settle(e.distinct(), "edges")
-    while True:
-        stars = e.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("k"))
-        stars = stars.unionByName(e.groupBy("v").agg(F.lit(0).alias("n"), F.lit(1).alias("k")).withColumnRenamed("v", "u"))
-        bad = stars.groupBy("u").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 1 or (n > 0 and k > 0)")
-        if bad.isEmpty():
-            return e
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).mapInArrow(_thin, "u long, v long").distinct(), "edges")
-        discard(e)
-        e = nxt
