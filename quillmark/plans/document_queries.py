@@ -306,6 +306,7 @@ SQL = {
         SELECT key, upper, key || '||' || upper AS own_key FROM w WHERE k > 1 AND share >= 0.15 AND d >= 2""",
     "shared_keys": """WITH e AS (SELECT p_partkey AS key, p_type AS type, unnest([p_name || '/' || p_brand, p_name || '/' || p_size]) AS k FROM part), f AS (SELECT type, k, min(key) AS a FROM e GROUP BY ALL)
         SELECT DISTINCT a, key AS b FROM e JOIN f USING (type, k) WHERE key <> a""",
+    "merge_entities": """SELECT p_partkey::varchar AS key, first_value(p_partkey::varchar) OVER (PARTITION BY p_type, p_name, p_brand ORDER BY p_partkey % 5 <> 0, p_size DESC, p_partkey::varchar) AS canonical FROM part QUALIFY count(*) OVER (PARTITION BY p_type, p_name, p_brand) > 1""",
     "declared_aliases": "WITH a AS (SELECT 'AB' || (s_suppkey % 60) AS alias, s_suppkey AS key FROM supplier) SELECT alias, key FROM a QUALIFY count(*) OVER (PARTITION BY alias) = 1",
     "dissolved_names": "SELECT 'c' || c_custkey AS combined, unnest(list_distinct([c_custkey::varchar, (c_custkey * 2)::varchar])) AS part FROM customer WHERE c_custkey > 0 AND c_custkey * 2 IN (SELECT c_custkey FROM customer)",
     "grounded_records": "SELECT name, count(*) AS n FROM documents, (VALUES ('license'), ('idiot'), ('The')) v(name) WHERE contains(lower(text), lower(name)) GROUP BY name",
