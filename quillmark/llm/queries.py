@@ -80,4 +80,20 @@ SQL: dict[str, str] = {
         SELECT e.vec_id, coalesce(n, 0)::bigint AS n_links, c AS component_id, e.vec_id = c AS kept
         FROM embeddings e JOIN part ON part.u = e.vec_id LEFT JOIN degree ON degree.u = e.vec_id
     """,
+    "op9_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (
+            SELECT doc_id, n, sum(hash(s)) AS digest FROM s JOIN n USING (doc_id) GROUP BY ALL
+        ), k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n, digest) AS rep, n FROM c), r AS (SELECT DISTINCT rep, n FROM k),
+        links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN r x ON x.rep = a.doc_id JOIN r y ON y.rep = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), reach(u, v) AS (SELECT rep, rep FROM r UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+        part AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+        SELECT d.doc_id, coalesce(k.n, 0)::bigint AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN part ON part.u = k.rep
+    """,
 }
