@@ -74,6 +74,22 @@ def quota(rows: DataFrame, bucket: str, k: int, least: int = 2) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k).drop("_b")
 
 
+def widened(rows: DataFrame, routes: DataFrame, threshold: float) -> DataFrame:
+    """Accepted rows in the libraries that a question was routed to; where these hold none, those of all libraries,
+    marked. ``routes`` has question_id and kb_id."""
+    marked = rows.where(F.col("score") >= threshold).join(routes.select("question_id", "kb_id", F.lit(True).alias("_in")).distinct(), ["question_id", "kb_id"], "left")
+    marked = marked.withColumn("_any", F.count("_in").over(Window.partitionBy("question_id")) > 0)
+    return marked.where("not _any or _in").withColumn("widened", ~F.col("_any")).drop("_in", "_any")
+
+
+def numbered_sources(rows: DataFrame) -> DataFrame:
+    """Rows of a question (place, doc_id) with the number of their source: documents count from 1 in the order in which
+    they first appear."""
+    first = rows.groupBy("question_id", "doc_id").agg(F.min("place").alias("_first"))
+    numbers = first.withColumn("source_no", F.row_number().over(Window.partitionBy("question_id").orderBy("_first", "doc_id")).cast("long"))
+    return rows.join(numbers.drop("_first"), ["question_id", "doc_id"])
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 

@@ -24,6 +24,13 @@ def evidence_path(evidences: DataFrame, contributes: DataFrame) -> DataFrame:
     return evidences.join(contributes, "unit_id").select("relation", "point_id").distinct()
 
 
+def mentions(mentioned: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, point_id, count, hub) of the chunks that mention an entity; hub is the number of edges into the chunk,
+    counted before the join."""
+    hub = edges.groupBy("point_id").agg(F.count("*").alias("hub"))
+    return mentioned.join(hub, "point_id", "left").fillna(0, ["hub"])
+
+
 def fact_subjects(has_fact: DataFrame, entities: DataFrame) -> DataFrame:
     """(fact_id, subjects): the titles of the entities that have a fact, in order."""
     rows = has_fact.join(entities, "key")

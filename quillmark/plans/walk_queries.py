@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import records as C
-from quillmark.operators import recall
+from quillmark.operators import fusion, recall
 from quillmark.operators import upkeep as U
 from quillmark.operators import walk as W
 from quillmark.operators.graph import scratch
@@ -314,8 +315,21 @@ def visual_topk(spark, d):
     return recall.dense(v, list(q[0][0]) if q and q[0][0] else [], 20, vector="visual")
 
 
+def mention_hubs(spark, d):
+    li = load(spark, d, "lineitem")
+    own = li.groupBy(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("point_id")).agg(F.sum("l_linenumber").alias("count"))
+    return W.mentions(own, li.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("point_id")))
+
+
+def fact_rows(spark, d):
+    """Facts of each supplier as rows of an answer: numbered sources, and whether their chunk is active still."""
+    k = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    rows = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("question_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), (F.col("l_orderkey") % 30).alias("doc_id"), (F.col("l_orderkey") % 7 > 0).alias("active"), F.row_number().over(k).cast("long").alias("place"))
+    return fusion.numbered_sources(rows.where("place <= 40")).select("question_id", "fact_id", "place", "source_no", "active")
+
+
 QUERIES = {f.__name__: f for f in (
-    input_drift, repair_candidates, orphan_versions, cancelled_jobs, claimable_jobs, lease_beats, soft_delete, metadata_fingerprints, folder_enrolment, due_jobs, corpus_snapshots, phase_resume, replayed_decisions, supported_definitions,
+    mention_hubs, fact_rows, input_drift, repair_candidates, orphan_versions, cancelled_jobs, claimable_jobs, lease_beats, soft_delete, metadata_fingerprints, folder_enrolment, due_jobs, corpus_snapshots, phase_resume, replayed_decisions, supported_definitions,
     run_comparison, structured_evaluation, path_checks, set_sample, active_chunk_refs, evidence_paths, subjects_of_facts, seed_tokens, seed_facts, seed_pages, named_in_questions, entity_resolve, fact_evidence, graph_preview,
     neighbour_previews, relation_kinds, property_counts, rank_stats, owner_points, vector_pairs, subject_buckets, dual_ranks, discovery_budget, pick_redundancy, relation_scores, candidate_scores, mention_weights, excluded_paths,
     payload_lookup, library_catalogue, visual_topk,
@@ -329,6 +343,10 @@ CANON = "lower(regexp_replace(regexp_replace(regexp_replace({0}, '([0-9])[ _./#-
 VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings WHERE embedding IS NOT NULL)"
 
 SQL = {
+    "mention_hubs": """WITH m AS (SELECT l_partkey AS key, l_orderkey AS point_id, sum(l_linenumber)::bigint AS count FROM lineitem GROUP BY ALL), h AS (SELECT l_orderkey, count(*) AS hub FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+        SELECT key, point_id, count, coalesce(hub, 0) AS hub FROM m LEFT JOIN h ON l_orderkey = point_id""",
+    "fact_rows": """WITH r AS (SELECT l_suppkey AS q, l_orderkey * 10 + l_linenumber AS f, l_orderkey % 30 AS doc, l_orderkey % 7 > 0 AS active, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS place FROM lineitem QUALIFY place <= 40),
+        o AS (SELECT *, min(place) OVER (PARTITION BY q, doc) AS first FROM r) SELECT q AS question_id, f AS fact_id, place, dense_rank() OVER (PARTITION BY q ORDER BY first) AS source_no, active FROM o""",
     "input_drift": f"WITH {LEDGER} SELECT count_if(missing)::bigint AS missing, count_if(version_mismatch)::bigint AS version_mismatch, count_if(text_mismatch)::bigint AS text_mismatch FROM drift",
     "repair_candidates": f"""WITH {LEDGER} SELECT DISTINCT file_id FROM ledger JOIN drift USING (point_id) WHERE status = 'active' AND (missing OR text_mismatch) AND file_id % 5 <> 4 AND file_id % 7 <> 0 AND file_id % 10 <> 6""",
     "orphan_versions": "SELECT o_orderkey AS version FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND o_orderdate < TIMESTAMP '2000-01-01'",
