@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import mixing, near_dedup, packing, secrets, toxicity
-from quillmark.llm.common import bounded_batches, fresh, table
+from quillmark.llm.common import bounded_batches, discard, fresh, table
 from quillmark.llm.queries import VOCABULARY
 
 
@@ -53,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, each result a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of ``sf_dir``, each result a table in the shared folder that the next one replaces."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        docs = before = spark.read.parquet(path)
     return docs

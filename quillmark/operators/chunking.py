@@ -109,6 +109,32 @@ def split_table(text: str, most: int) -> list[str]:
     return out
 
 
+def split_facts(text: str, most: int) -> list[str]:
+    """Parts within the budget that never cut a line of facts; title and caption lines head each part, unless they take
+    more than a third of it. A single fact over the budget stays whole; prose, code and tables are cut as elsewhere."""
+    if approx_tokens(text) <= most:
+        return [text]
+    lines = text.split("\n")
+    heads = [x for x in lines if x.startswith(("TITLE:", "CAPTION:"))]
+    if approx_tokens("\n".join(heads)) > most // 3:
+        heads = []
+    room = max(1, most - approx_tokens("\n".join(heads) + "\n")) if heads else most
+    pieces: list[str] = []
+    for kind, part in segments("\n".join(x for x in lines if x not in heads)):
+        if kind != "prose":
+            pieces += [p for _, p in chunk_text(part, room, 0)]
+            continue
+        for line in filter(str.strip, part.split("\n")):
+            pieces += [line] if line.startswith("FACTS: ") else [p for _, p in chunk_text(line, room, 0)]
+    out: list[list[str]] = []
+    for p in pieces:
+        if out and approx_tokens("\n".join([*heads, *out[-1], p])) <= most:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return ["\n".join([*heads, *part]) for part in out]
+
+
 def pack(parts: list[str], most: int, overlap: int) -> list[str]:
     """Greedy packing of sentences with whole sentences of overlap. A heading past half of the budget starts a chunk
     without overlap, and a heading at the end of a chunk moves to the next."""

@@ -88,6 +88,12 @@ def table_splits(spark, d):
     return P.table_function(parts(spark, d, text), "content", cut, "doc_id long, parts long, headed boolean, rows long")
 
 
+def fact_splits(spark, d):
+    text = F.concat(F.lit("TITLE: t"), F.repeat(F.lit("\nFACTS: of twenty-four ch."), F.col("p_size").cast("int")))
+    cut = lambda t: [(len(x := chunking.split_facts(t, 30)), all(p.startswith("TITLE: t\nFACTS") for p in x), sum(p.count("FACTS") for p in x))]
+    return P.table_function(parts(spark, d, text), "content", cut, "doc_id long, parts long, headed boolean, facts long")
+
+
 def segment_runs(spark, d):
     text = F.concat("p_name", F.lit("\n```py\ncode | x | y\n```\n| a | b |\n| c | d |\n\nend"))
     return P.table_function(parts(spark, d, text), "content", lambda t: [(i, k, len(x)) for i, (k, x) in enumerate(chunking.segments(t))], "doc_id long, at long, kind string, chars long")
@@ -143,7 +149,7 @@ def rolled_back(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    text_decode, text_clean, frontmatter_fields, comment_strip, html_tables, csv_cells, notebook_blocks, markup_sections, python_blocks, code_blocks, long_cuts, code_splits, table_splits, segment_runs, glued_pieces, repeat_drops,
+    text_decode, text_clean, frontmatter_fields, comment_strip, html_tables, csv_cells, notebook_blocks, markup_sections, python_blocks, code_blocks, long_cuts, code_splits, table_splits, fact_splits, segment_runs, glued_pieces, repeat_drops,
     excerpts, schema_round_trip, compacted_table, rolled_back,
 )}
 
@@ -162,6 +168,7 @@ SQL = {
     "long_cuts": "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN ceil(p_size / 9) ELSE ceil(p_size * 15 / 43) END::bigint AS parts, CASE WHEN p_partkey % 2 = 0 THEN least(9, p_size) ELSE least(43, p_size * 15) END::bigint AS first, true AS whole FROM part",
     "code_splits": "SELECT p_partkey AS doc_id, ceil(p_size / 2)::bigint AS parts, true AS whole FROM part",
     "table_splits": "SELECT p_partkey AS doc_id, greatest(1, ceil(p_size / 3))::bigint AS parts, true AS headed, p_size::bigint AS rows FROM part",
+    "fact_splits": "SELECT p_partkey AS doc_id, ceil(p_size / 4)::bigint AS parts, true AS headed, p_size::bigint AS facts FROM part WHERE p_size > 0",
     "segment_runs": "SELECT p_partkey AS doc_id, unnest([0, 1, 2, 3])::bigint AS at, unnest(['prose', 'code', 'table', 'prose']) AS kind, unnest([length(p_name), 22, 19, 4])::bigint AS chars FROM part",
     "glued_pieces": """SELECT p_partkey AS doc_id, unnest([0, 1, 2])::bigint AS at, unnest(['prose', 'code', 'prose']) AS kind, unnest([101 + length(p_name), 4, p_size * 8])::bigint AS chars FROM part""",
     "repeat_drops": "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'goes on' ELSE p_name || ' alone' END AS text FROM part",
