@@ -39,7 +39,7 @@ SKIP_DIRECTORY, SKIP_SEEK, SEEK_FOOTER, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F
 #: The id appended to every document.
 END_ID = 1
 #: Bytes of texts that are encoded at once, and the longest piece that is merged in columns.
-CHUNK, LONGEST = 8 << 20, 48
+CHUNK, LONGEST = 6 << 20, 48
 #: The rules under which the columnar path below gives the library's ids, as they stand in the vocabulary file.
 COLUMNAR = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -114,7 +114,7 @@ class Merges:
         symbol = self.inner[data]
         symbol[ends - 1] = self.final[data[ends - 1]]
         start, size = home.copy(), sizes.copy()
-        piece = np.repeat(np.arange(len(sizes)), sizes)
+        piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rank = np.full(len(data), NEVER)
         inside = np.ones(len(data), bool)
         inside[ends - 1] = False
@@ -132,7 +132,7 @@ class Merges:
                 if not len(size):
                     break
                 start = np.cumsum(size) - size
-                piece = np.repeat(np.arange(len(size)), size)
+                piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
             lowest = np.flatnonzero(rank == best[piece])
             of = piece[lowest]
             first = lowest[np.concatenate([[True], of[1:] != of[:-1]])]
@@ -154,7 +154,11 @@ class Merges:
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of runs of the given sizes, one run after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    total = int(size.sum())
+    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) < 1 << 31) else np.int64
+    out = np.repeat((start - (np.cumsum(size) - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:
@@ -236,8 +240,8 @@ class Encoder:
             ids, n = self._by_library(column.to_pylist())
             return ids.astype("<u4"), np.concatenate([[0], np.cumsum(n)])
         ids, size, word, at = self._cut(column)
-        total = np.concatenate([[0], np.cumsum(size[word])])
-        return ids[spread((np.cumsum(size) - size)[word], size[word])].astype("<u4"), total[at]
+        total = np.concatenate([[0], np.cumsum(size[word])])[at]
+        return ids.astype("<u4")[spread((np.cumsum(size) - size)[word], size[word])], total
 
     def count(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text of a column."""
