@@ -126,17 +126,14 @@ def overlap_pairs(rows: DataFrame, threshold: float = 0.85, adjacency: int = 2)
 
 
 def budgeted(rows: DataFrame, budget: int, tokens: str = "tokens") -> DataFrame:
-    """Rows of a question in order of place while they fit: one that does not is skipped and later ones may."""
-
-    def take(pool: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        pool = pool.sort_values("place")
-        for n in pool[tokens]:
-            keep.append(n <= left)
-            left -= n if n <= left else 0
-        return pool[keep]
-
-    return rows.groupBy("question_id").applyInPandas(take, rows.schema)
+    """Rows of a question in order of place while they fit: one that does not is skipped and later ones may. A question's
+    rows are a short list, the picks of a quota."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("place").alias("_place"), F.col(tokens).cast("long").alias("_cost"), F.struct(*rows.columns).alias("_row"))))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<boolean>").alias("taken"))
+    fits = lambda s, x: x["_cost"] <= s["left"]
+    step = lambda s, x: F.struct(F.when(fits(s, x), s["left"] - x["_cost"]).otherwise(s["left"]).alias("left"), F.concat(s["taken"], F.array(fits(s, x))).alias("taken"))
+    own = rows.groupBy("question_id").agg(listed.alias("_l")).select("_l", F.aggregate("_l", start, step)["taken"].alias("_t"))
+    return own.select(F.explode(F.arrays_zip("_l", "_t")).alias("_z")).where("_z._t").select("_z._l._row.*")
 
 
 def window_scores(rows: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -231,8 +231,17 @@ def majority(votes: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def sliding_pairs(entities: DataFrame, by: list[str], window: int) -> DataFrame:
-    """Pairs of entities at most ``window`` places apart in the order of their titles within each group. The places
-    are the keys of an equi-join, so the pairs grow with the entities times the window."""
-    ranked = entities.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("title", "key")))
+    """Pairs of entities at most ``window`` places apart in the order of their titles within each group. The rows are
+    sorted over all tasks by ranges, and a row's place is its place in its range and the rows of the ranges before, so
+    a group of any size is no task of its own. The places are the keys of an equi-join, so the pairs grow with the
+    entities times the window."""
+    order = [*by, "title", "key"]
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = entities.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = settle(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))  # a row for each range
+    ranked = ranged.join(F.broadcast(starts), "_range").withColumn("_at", F.col("_before") + F.col("_in"))
     left = ranked.select(*by, F.col("key").alias("a"), F.col("title").alias("ta"), F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + window)).alias("_at"))
     return left.join(ranked.select(*by, F.col("key").alias("b"), F.col("title").alias("tb"), "_at"), [*by, "_at"]).drop("_at")
