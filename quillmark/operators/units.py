@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,27 @@ def sectioned_units(chunks: DataFrame, size: int = 3) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", "section", "text").groupBy("doc_id").applyInPandas(build, "doc_id long, ord long, text string, chunk_from long, chunk_to long")
 
 
+def farthest(pool: DataFrame, by: str, n: int) -> DataFrame:
+    """(by, key, place): of each stratum's bounded pool (by, key, vector) the smallest key, then each time the one whose
+    nearest chosen vector is farthest by cosine, ties to the smaller key. Null and zero vectors are not chosen."""
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
+        x = np.stack([np.array(v, float) for v in rows["vector"]])
+        size = np.linalg.norm(x, axis=1)
+        keys, x = rows["key"].to_numpy()[size > 0], x[size > 0] / size[size > 0, None]
+        near, chosen = np.full(len(x), -2.0), []
+        while len(chosen) < min(n, len(x)):
+            at = int(np.argmin(near)) if chosen else 0
+            chosen.append(at)
+            near = np.maximum(near, np.round(x @ x[at], 6))
+            near[chosen] = 2.0
+        return pd.DataFrame({by: rows[by].iloc[0], "key": keys[chosen], "place": range(1, len(chosen) + 1)})
+
+    kind = pool.schema[by].dataType.simpleString()
+    return pool.where("vector is not null").select(by, "key", "vector").groupBy(by).applyInPandas(choose, f"{by} {kind}, key long, place long")
+
+
 def unit_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 

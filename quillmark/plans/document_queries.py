@@ -85,6 +85,13 @@ def even_spread(spark, d):
     return units.spread(chunks(spark, d).select("kb_id", (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("place")), "kb_id", "place", 16)
 
 
+def diverse_sample(spark, d):
+    """Three far apart vectors of each label, from an even spread of sixty-four."""
+    vectors = load(spark, d, "embeddings").where("label is not null and embedding is not null").select("label", F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    pool = units.spread(vectors.select("label", F.col("key").alias("place")), "label", "place", 64).withColumnRenamed("place", "key")
+    return units.farthest(vectors.join(pool, ["label", "key"]), "label", 3)
+
+
 def wide_table_rows(spark, d):
     table = F.concat(F.lit("| name | size |\n|---|---|\n| "), "p_name", F.lit(" | "), "p_size", F.lit(" |"))
     return load(spark, d, "part").select("p_partkey", F.array_join(units.labelled_rows(table), "\n").alias("text"))
@@ -266,7 +273,7 @@ def code_relations(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_blocks, markdown_blocks, config_flatten, line_runs, heading_levels, header_tiers, table_ambiguity, format_routes, greedy_chunks, unit_build, sectioned_units, unit_kinds, sample_quota, even_spread,
+    html_blocks, markdown_blocks, config_flatten, line_runs, heading_levels, header_tiers, table_ambiguity, format_routes, greedy_chunks, unit_build, sectioned_units, unit_kinds, sample_quota, even_spread, diverse_sample,
     wide_table_rows, merge_records, merge_relations, homonym_split, shared_keys, merge_entities, declared_aliases, dissolved_names, grounded_records, record_parsing, name_conflicts, corrections, governance,
     row_status, cache_misses, vector_reuse, versioned_upsert, stream_windows, stream_sliding, stream_sessions, stream_dedupe, stream_job_state,
     greedy_cover, stitched_hits, subject_pages, graph_readback, concept_norms, concept_build, period_contexts, code_relations,
@@ -297,6 +304,11 @@ SQL = {
         b AS (SELECT *, floor(raw)::bigint AS base FROM r), l AS (SELECT *, 200 - sum(base) OVER () AS rest, row_number() OVER (ORDER BY raw - base DESC, kb_id) AS place FROM b) SELECT kb_id, least(size, base + (place <= rest)::bigint) AS quota FROM l""",
     "even_spread": f"""WITH {CHUNKS}, r AS (SELECT kb_id, doc_id * 1000 + chunk_index AS place, row_number() OVER (PARTITION BY kb_id ORDER BY doc_id * 1000 + chunk_index) - 1 AS at_, count(*) OVER (PARTITION BY kb_id) AS n FROM chunks)
         SELECT kb_id, place FROM r WHERE n <= 16 OR len(list_filter(range(0, 16), lambda i: (i * n) // 16 = at_)) > 0""",
+    "diverse_sample": """WITH r AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::double) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        p AS (SELECT * FROM r WHERE n <= 64 OR len(list_filter(range(0, 64), lambda x: (x * n) // 64 = i)) > 0), a AS (SELECT label, vec_id, e FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+        b AS (SELECT p.label, p.vec_id, p.e, round(list_cosine_similarity(p.e, a.e), 6) AS near FROM p JOIN a ON a.label = p.label AND a.vec_id <> p.vec_id), c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY label ORDER BY near, vec_id) = 1),
+        f AS (SELECT b.label, b.vec_id, greatest(b.near, round(list_cosine_similarity(b.e, c.e), 6)) AS near FROM b JOIN c ON c.label = b.label AND c.vec_id <> b.vec_id)
+        SELECT label, vec_id AS key, 1::bigint AS place FROM a UNION ALL SELECT label, vec_id, 2 FROM c UNION ALL (SELECT label, vec_id, 3 FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY near, vec_id) = 1)""",
     "wide_table_rows": "SELECT p_partkey, 'name: ' || p_name || '; size: ' || p_size AS text FROM part",
     "merge_records": f"""WITH {MENTIONS}, s AS (SELECT key, count(DISTINCT unit_id) AS units, count(DISTINCT doc_id) AS docs, count(*) AS frequency FROM m GROUP BY key),
         t AS (SELECT key, type FROM (SELECT key, type, count(*) AS n FROM m GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, type DESC) = 1) SELECT s.*, upper(key) AS title, type FROM s JOIN t USING (key)""",
