@@ -20,15 +20,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import small_join, whole
+from quillmark.llm.common import whole
 
 SAMPLES = 128
 #: Bits of a sample in the fingerprint; two hexadecimal digits for each eight.
 TAG_BITS = 16
 #: Rows of samples, one for each (term, count), that a worker keeps (a kilobyte each).
 CACHED_ROWS = 50_000
+#: Letters of a term that may be kept with its row; the rows of longer ones are computed again.
+KEPT_LETTERS = 64
 #: Terms gathered at once, and rows computed at once, so that the work stays in the processor's caches.
 TERMS_AT_ONCE, ROWS_AT_ONCE = 4_096, 128
+#: Rows of a table that a worker holds at once, and their code points; the row that passes a bound is still held.
+PART_ROWS, PART_CHARS = 2_000, 2_000_000
 #: Bits that choose a gamma quantile.
 QUANTILE_BITS = 12
 
@@ -95,47 +99,40 @@ class Sampler:
         return out
 
     def signatures(self, docs: list[Counter]) -> np.ndarray:
-        """Tags (documents x samples); a document without terms has zeros."""
-        out = np.zeros((len(docs), SAMPLES), np.uint16)
+        """Tags (documents x samples); a document without terms has zeros, the low bits of infinity."""
+        low = np.full((len(docs), SAMPLES), np.inf)
         group, size = [], 0
         for i, d in enumerate(docs):
-            if d:
-                group.append(i)
-                size += len(d)
-            if group and (size >= TERMS_AT_ONCE or i == len(docs) - 1):
-                out[group] = self._group([docs[k] for k in group])
-                group, size = [], 0
+            items = list(d.items())
+            for j in range(0, len(items), TERMS_AT_ONCE):
+                group.append((i, items[j : j + TERMS_AT_ONCE]))
+                size += len(group[-1][1])
+                if size >= TERMS_AT_ONCE:
+                    self._group(group, low)
+                    group, size = [], 0
         if group:
-            out[group] = self._group([docs[k] for k in group])
-        return out
+            self._group(group, low)
+        return (low.view(np.uint64) & np.uint64((1 << TAG_BITS) - 1)).astype(np.uint16)
 
-    def _group(self, docs: list[Counter]) -> np.ndarray:
+    def _group(self, group: list[tuple[int, list[tuple[str, int]]]], low: np.ndarray) -> None:
+        """Lower the samples of documents by pieces (document, terms), of fewer than 2 * TERMS_AT_ONCE terms in all."""
         get = self.place.get
-        known = [[get(x, -1) for x in d.items()] for d in docs]
-        missing = list(dict.fromkeys(x for d, k in zip(docs, known, strict=True) if -1 in k for x, at in zip(d.items(), k, strict=True) if at < 0))
+        known = [[get(x, -1) for x in piece] for _, piece in group]
+        missing = list(dict.fromkeys(x for (_, piece), k in zip(group, known, strict=True) if -1 in k for x, at in zip(piece, k, strict=True) if at < 0))
         number: dict[tuple[str, int], int] = {}
         if missing:
-            room = min(CACHED_ROWS - len(self.place), len(missing))
-            if room > 0:
-                first = len(self.place)
-                self.rows(missing[:room], self.kept[first : first + room])
-                self.place.update((x, first + i) for i, x in enumerate(missing[:room]))
-            rest = missing[max(room, 0) :]
-            if len(self.kept) < CACHED_ROWS + len(rest):
-                self.kept = np.concatenate([self.kept, np.empty((CACHED_ROWS + len(rest) - len(self.kept), SAMPLES))])
+            first = len(self.place)
+            keep = [x for x in missing if len(x[0]) <= KEPT_LETTERS][: CACHED_ROWS - first]
+            self.rows(keep, self.kept[first : first + len(keep)])
+            self.place.update((x, first + i) for i, x in enumerate(keep))
+            rest = [x for x in missing if x not in self.place]
             self.rows(rest, self.kept[CACHED_ROWS : CACHED_ROWS + len(rest)])
             number = {x: CACHED_ROWS + i for i, x in enumerate(rest)}
-        out = np.empty((len(docs), SAMPLES))
-        for i, (d, k) in enumerate(zip(docs, known, strict=True)):
+        for (i, piece), k in zip(group, known, strict=True):
             if -1 in k:
-                k = [at if at >= 0 else number[x] if x in number else get(x) for x, at in zip(d.items(), k, strict=True)]
-            low = None
-            for j in range(0, len(k), TERMS_AT_ONCE):
-                part = k[j : j + TERMS_AT_ONCE]
-                found = np.take(self.kept, part, axis=0, out=self.buffer[: len(part)], mode="clip").min(0)
-                low = found if low is None else np.minimum(low, found)
-            out[i] = low
-        return (out.view(np.uint64) & np.uint64((1 << TAG_BITS) - 1)).astype(np.uint16)
+                k = [at if at >= 0 else number[x] if x in number else get(x) for x, at in zip(piece, k, strict=True)]
+            found = np.take(self.kept, k, axis=0, out=self.buffer[: len(k)], mode="clip").min(0)
+            np.minimum(low[i], found, out=low[i])
 
 
 def terms(text: str) -> Counter:
@@ -185,6 +182,23 @@ def ranges(docs: DataFrame, n: int) -> Column:
     return F.expr(whole_parts.replace("_part", f"({coarse})"))
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int | None, str]]]:
+    """Runs of two or more rows (range, guest, doc_id, text) in their order, bounded by rows and by code points. The last
+    row of a run is the first of the next one, unless it is a guest: a range ends with its guest, so every other row has
+    its next row in its run."""
+    held: list[tuple[int, int, int | None, str]] = []
+    size = 0
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("range", "guest", "doc_id", "text")), strict=True):
+            held.append(row)
+            size += len(row[3])
+            if len(held) > 1 and (size > PART_CHARS or len(held) > PART_ROWS):
+                yield held
+                held, size = [] if row[1] else [row], 0
+    if len(held) > 1:
+        yield held
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
@@ -198,16 +212,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("range", ranges(docs, n).cast("int"))
-    heads = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    # One number for each range that has rows; the first row of each goes to the range before it, as a guest.
-    full = sorted(r[0] for r in dealt.select("range").distinct().collect())
-    before = spark.createDataFrame([(full[i], full[i - 1]) for i in range(len(full))], "range int, before int")
-    guests = small_join(heads, before, ["range"], "inner", 16).select("first.doc_id", "first.text", F.col("before").alias("range"), F.lit(1).alias("guest"))
+    # The first id of each range that has rows, and its first text; that row goes to the range before it, as a guest.
+    # Ids alone are aggregated over the table: texts would be sorted for it. There are as many rows as ranges.
+    full = sorted(tuple(r) for r in dealt.groupBy("range").agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).collect())
+    firsts = spark.createDataFrame([(None if none else first, full[i - 1][0]) for i, (_, first, none) in enumerate(full)], "first long, before int")
+    heads = dealt.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("first", "before").agg(F.min("text").alias("text"))
+    guests = heads.select(F.col("first").alias("doc_id"), "text", F.col("before").alias("range"), F.lit(1).alias("guest"))
     rows = dealt.withColumn("guest", F.lit(0)).unionByName(guests)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler()
-        held: list[tuple[int, int, int | None, str]] = []
 
         def done(part: list[tuple[int, int, int | None, str]]) -> pa.RecordBatch:
             """Rows for all of ``part`` that have their next row in it."""
@@ -235,17 +249,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-        size = 0
-        for b in rows:
-            for row in zip(*(b.column(c).to_pylist() for c in ("range", "guest", "doc_id", "text")), strict=True):
-                held.append(row)
-                size += len(row[3])
-                # A range ends with its guest, so the last row held is always either the next row or a guest.
-                if size > 2_000_000 and len(held) > 1:
-                    yield done(held)
-                    held, size = ([] if held[-1][1] else held[-1:]), 0
-        if len(held) > 1:
-            yield done(held)
+        yield from map(done, parts(rows))
 
     dealt = rows.repartition(n // 4, "range").sortWithinPartitions("range", "guest", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
