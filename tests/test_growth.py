@@ -32,3 +32,23 @@ def test_seeds_of_a_crowded_name(spark):
     want = {("entity", f"e{i:03}", 0.85) for i in range(5)} | {("relation", f"r{i:03}", 0.8) for i in range(5)}
     assert len(rows) == 3000 and {tuple(r)[1:] for r in rows} == want
     assert most <= 300 * 10
+
+
+def test_redundancy_counts_equal_texts(spark):
+    words = ["red bolt a", "red bolt b", "ring", "", "bolt ring c d"]
+    texts = [(q, i, words[(i * i + q) % 5] + (f" n{i % 3}" if i % 4 else "")) for q in (1, 2) for i in range(40)] + [(3, 1, "alone")]
+    again = [(1, 7, "red bolt z"), (1, 7, "ring n9"), (4, 1, "twice"), (4, 1, "twice"), (5, 1, ""), (5, 2, "x")]
+    rows = spark.createDataFrame(texts + again, "question_id long, point_id long, text string")
+    want = {}
+    for q in (1, 2, 5):
+        own = [(p, set(t.split())) for x, p, t in texts + again if x == q]
+        found = [len(a & b) / len(a | b) for i, (p, a) in enumerate(own) for o, b in own[i + 1 :] if p != o and a | b]
+        want[q] = round(sum(found) / len(found), 4)
+    assert {r[0]: r[1] for r in W.redundancy(rows).collect()} == want
+    sums = W.jaccard_sums(rows.select("question_id", F.array_sort(F.array_distinct(F.split("text", " "))).alias("t")), ["question_id"], block=3, width=2)
+    whole = W.jaccard_sums(rows.select("question_id", F.array_sort(F.array_distinct(F.split("text", " "))).alias("t")), ["question_id"])
+    assert {r[0]: (round(r[1], 9), r[2]) for r in sums.collect()} == {r[0]: (round(r[1], 9), r[2]) for r in whole.collect()}
+    crowd = spark.range(2000).select(F.lit(1).alias("question_id"), F.col("id").alias("point_id"), F.concat(F.lit("red bolt "), F.col("id") % 5).alias("text"))
+    rows, most = most_rows(W.redundancy(crowd))
+    n, near = 5 * 400, 5 * 400 * 399 / 2
+    assert rows[0].redundancy == round((near + 0.5 * (n * (n - 1) / 2 - near)) / (n * (n - 1) / 2), 4) and most <= 2000
