@@ -1,8 +1,11 @@
 """Steps whose rows would grow faster than their inputs: results on crowded keys, and the most rows a step makes."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quillmark.operators import walk as W
+from quillmark.plans import registry
+from tests.oracle import compare
 
 
 def most_rows(df):
@@ -52,3 +55,37 @@ def test_redundancy_counts_equal_texts(spark):
     rows, most = most_rows(W.redundancy(crowd))
     n, near = 5 * 400, 5 * 400 * 399 / 2
     assert rows[0].redundancy == round((near + 0.5 * (n * (n - 1) / 2 - near)) / (n * (n - 1) / 2), 4) and most <= 2000
+
+
+def seeded(questions, facts, lanes, limit):
+    """``fact_seeds`` by all pairs of the cases below: (question_id, words, window), (fact_id, subject, property, symbol, value, axis)."""
+    out = []
+    for q, words, window in questions:
+        best = {}
+        for f in facts:
+            names = {x.lower() for x in f[2:4] if x} & words
+            mine = [(lane, s) for x, i, lane, s in lanes if (x, i) == (q, f[0])]
+            dense = min(1.0, max(s for _, s in mine) + 0.05 * ({"property", "value"} <= {x for x, _ in mine})) if mine else 0
+            base = max(dense, min(1.0, 0.85 + 0.1 * (len(names) - 1)) if names else 0)
+            if not mine and not names:
+                continue
+            shared = len({t for t in " ".join(x for x in f[1:5] if x).lower().split() if len(t) > 1} & words)
+            dated = f[5] is None or f[5][:4].isdigit()
+            factor = 1.0 if not window or not dated else 1.1 if window[0] <= (f[5] or "")[:4] <= window[1] else 0.8
+            rank = (-round((base + 0.05 * shared) * factor, 6), f[0])
+            best[f[1:]] = min(best.get(f[1:], rank), rank)
+        out += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(best.values())[:limit], 1)]
+    return sorted(out)
+
+
+def test_fact_seeds_of_crowded_names(spark):
+    texts = {q: ("size of red rod 12" if q % 3 else "iq and size in rod 7x") for q in range(60)}
+    windows = {q: ("1995", "1997") if q % 4 == 0 else None for q in range(60)}
+    facts = [(i, ("red rod", "blue rod", "x")[i % 3], ("Size", "weight", None)[i % 5 % 3], ("IQ", "", None, "size")[i % 4], ("12", "7x", "3")[i % 7 % 3], (f"{1993 + i % 6}-01", "v2", None)[i % 11 % 3]) for i in range(400)]
+    lanes = [(q, (q * 7 + i * 13) % 420, ("text", "property", "value")[(q + i) % 3], (i % 4 + 5) / 10) for q in range(60) for i in range(5)]
+    qs = spark.createDataFrame([(q, texts[q], windows[q]) for q in texts], "question_id long, question string, window struct<from:string, to:string>")
+    frame = spark.createDataFrame(facts, "fact_id long, subject string, property string, symbol string, value string, axis string")
+    rows, most = most_rows(W.fact_seeds(qs, frame, spark.createDataFrame(lanes, "question_id long, fact_id long, lane string, score double"), 4))
+    want = seeded([(q, {t for t in texts[q].split() if len(t) > 1}, windows[q]) for q in texts], facts, lanes, 4)
+    assert sorted(map(tuple, rows)) == want
+    assert most < 60 * 400 / 4
