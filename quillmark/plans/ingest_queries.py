@@ -158,7 +158,8 @@ def chunk_diagnostics(spark, d):
 
 
 def sentence_split(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.size(T.sentences("text")).cast("long").alias("n"), F.element_at(T.sentences("text"), -1).alias("last"))
+    rows = load(spark, d, "documents").select("doc_id", T.sentences("text").alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.try_element_at("s", F.lit(-1)).alias("last"))
 
 
 def line_chunks(spark, d):

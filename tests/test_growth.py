@@ -89,3 +89,11 @@ def test_fact_seeds_of_crowded_names(spark):
     want = seeded([(q, {t for t in texts[q].split() if len(t) > 1}, windows[q]) for q in texts], facts, lanes, 4)
     assert sorted(map(tuple, rows)) == want
     assert most < 60 * 400 / 4
+
+
+def test_sentences_of_a_blank_text(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "One. Two!"), (2, ""), (3, " \n\n "), (4, "x")], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    compare(registry.QUERIES["sentence_split"](spark, str(tmp_path)), con, registry.SQL["sentence_split"])
