@@ -97,3 +97,12 @@ def test_sentences_of_a_blank_text(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     compare(registry.QUERIES["sentence_split"](spark, str(tmp_path)), con, registry.SQL["sentence_split"])
+
+
+def test_owner_points_of_long_numbers(spark, tmp_path):
+    key = F.col("id")
+    rows = spark.range(400).select((key % 2).alias("l_suppkey"), F.when(key % 3 == 0, key + 999_900).otherwise(key * 70_001).alias("l_partkey"), F.when(key % 5 == 0, 99_999_990 + key).otherwise(key + 5).alias("l_orderkey"))
+    rows.unionByName(rows.withColumn("l_orderkey", F.col("l_orderkey") + 100_000_000)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    compare(registry.QUERIES["owner_points"](spark, str(tmp_path)), con, registry.SQL["owner_points"])
