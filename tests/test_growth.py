@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from quillmark.operators import recall as T
 from quillmark.operators import walk as W
 from quillmark.plans import registry
 from tests.oracle import compare
@@ -106,3 +107,20 @@ def test_owner_points_of_long_numbers(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     compare(registry.QUERIES["owner_points"](spark, str(tmp_path)), con, registry.SQL["owner_points"])
+
+
+def test_best_points_of_many_ties(spark):
+    vocab = ["a", "b", "c", "d", "e"]
+    texts = {f"p{i:04}": [vocab[(i * 7 + j * j) % 5] for j in range(i % 4)] + ["other"] * (i % 3) for i in range(900)}
+    asked = [(q, vocab[q % 5 :] + ["missing"] * (q % 2)) for q in range(12)]
+    index = spark.createDataFrame([(p, t, len(t)) for p, t in texts.items()], "point_id string, tokens array<string>, length long").repartition(5)
+    rows = T.best_points(T.narrowed(index, [*vocab, "missing"]), asked, 7, block=5)
+    got = T.top_k(rows, "score", "point_id", 7, ["question_id"]).collect()
+    want = set()
+    for q, own in asked:
+        found = sorted((-round(len(set(t) & set(own)) / len(own), 6), p) for p, t in texts.items() if set(t) & set(own))[:7]
+        want |= {(q, p, -s, n) for n, (s, p) in enumerate(found, 1)}
+    assert {(r.question_id, r.point_id, r.score, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert rows.count() <= 5 * 12 * 7
+    counts = {r[0]: r[1] for r in T.frequencies(index, vocab, []).collect()}
+    assert counts == {v: sum(v in t for t in texts.values()) for v in vocab}
