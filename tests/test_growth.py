@@ -1,8 +1,11 @@
 """Steps whose rows would grow faster than their inputs: results on crowded keys, and the most rows a step makes."""
 
+import time
+
 import duckdb
 from pyspark.sql import functions as F
 
+from quillmark.operators import fusion
 from quillmark.operators import recall as T
 from quillmark.operators import walk as W
 from quillmark.plans import registry
@@ -124,3 +127,15 @@ def test_best_points_of_many_ties(spark):
     assert rows.count() <= 5 * 12 * 7
     counts = {r[0]: r[1] for r in T.frequencies(index, vocab, []).collect()}
     assert counts == {v: sum(v in t for t in texts.values()) for v in vocab}
+
+
+def test_overlap_of_long_lines(spark):
+    long = "".join(chr(97 + i * i % 23) + "\U0001d11e漢é"[i % 3] for i in range(40_000))
+    texts = [(1, 0, long), (1, 1, long[:70_000] + "x"), (1, 2, "ab"), (1, 3, "ab"), (1, 4, "abc\r"), (1, 5, "aab"), (2, 0, "\U0001d11e漢é!"), (2, 1, "\U0001d11e漢é?"), (2, 2, "\U0001d11e漢é")]
+    rows = spark.createDataFrame(texts, "doc_id long, chunk_index long, text string")
+    grams = {(d, c): {t[i : i + 3] for i in range(max(1, len(t) - 2))} for d, c, t in texts}
+    want = {(d, a, b, round(len(x & y) / min(len(x), len(y)), 6)) for (d, a), x in grams.items() for (e, b), y in grams.items() if d == e and 1 <= b - a <= 2}
+    start = time.time()
+    got = {tuple(r) for r in fusion.overlap_pairs(rows, 0.0).collect()}
+    assert got == want and time.time() - start < 20
+    assert {tuple(r) for r in fusion.overlap_pairs(rows).collect()} == {w for w in want if w[3] >= 0.85}
