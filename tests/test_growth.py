@@ -5,7 +5,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from quillmark.operators import fusion
+from quillmark.operators import chunking, fusion
 from quillmark.operators import recall as T
 from quillmark.operators import walk as W
 from quillmark.plans import registry
@@ -139,3 +139,18 @@ def test_overlap_of_long_lines(spark):
     got = {tuple(r) for r in fusion.overlap_pairs(rows, 0.0).collect()}
     assert got == want and time.time() - start < 20
     assert {tuple(r) for r in fusion.overlap_pairs(rows).collect()} == {w for w in want if w[3] >= 0.85}
+
+
+def test_repeats_of_long_texts():
+    def plain(previous, text, least=12):
+        ends = [k for k in range(least, min(len(previous), len(text)) + 1) if previous.endswith(text[:k])]
+        return text[max(ends) :].lstrip() if ends else text
+
+    parts = ["ab" * 20, "a" * 30, "ab" * 9 + "c", "xyz" * 7, "abababababab", "short", "", " " * 13 + "q"]
+    for x in parts:
+        for y in parts:
+            for z in parts:
+                assert chunking.drop_repeat(x + y, y + z) == plain(x + y, y + z) and chunking.drop_repeat(x, z) == plain(x, z)
+    line, start = "".join(chr(97 + i * i % 23) for i in range(300_000)), time.time()
+    assert chunking.drop_repeat("0" + line, "1" + line) == "1" + line and chunking.drop_repeat("0" + line, line + "1") == "1"
+    assert time.time() - start < 1
