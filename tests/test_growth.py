@@ -154,3 +154,11 @@ def test_repeats_of_long_texts():
     line, start = "".join(chr(97 + i * i % 23) for i in range(300_000)), time.time()
     assert chunking.drop_repeat("0" + line, "1" + line) == "1" + line and chunking.drop_repeat("0" + line, line + "1") == "1"
     assert time.time() - start < 1
+
+
+def test_evidence_of_crowded_units(spark):
+    facts = spark.range(3000).select(F.col("id").alias("fact_id"), (F.col("id") % 3).alias("unit_id"), F.when(F.col("id") % 2 == 0, "the").otherwise("qzx").alias("value"))
+    chunks = spark.range(90).select((F.col("id") % 3).alias("unit_id"), F.col("id").cast("string").alias("point_id"), F.col("id").alias("chunk_index"), F.when(F.col("id") > 20, "in the end").otherwise("none").alias("text"))
+    rows, most = most_rows(W.located_facts(facts, chunks))
+    assert {tuple(r) for r in rows} == {(i, str(21 + i % 3) if i % 2 == 0 else str(i % 3), i % 2 == 0) for i in range(3000)}
+    assert most <= 3000
